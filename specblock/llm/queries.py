@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specblock.llm import language_id, simhash, substring_dedup, token_counts
+from specblock.llm import language_id, line_dedup, mixing, simhash, substring_dedup, token_counts
 from specblock.llm.common import id_bucket, read_table
 
 QUERIES: dict = {}
@@ -41,3 +41,29 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_sites=line_dedup.MIN_SITES)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op9_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+spread AS (
+  SELECT trim(line) AS t FROM lines WHERE trim(line) <> ''
+  GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE t IS NOT NULL) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE t IS NULL), '') AS body
+  FROM lines LEFT JOIN spread ON trim(line) = t GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(body) AS kept_sha256 FROM kept
+"""
