@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specblock.llm import language_id, line_dedup, mixing, simhash, substring_dedup, token_counts
+from specblock.llm import decontamination, language_id, line_dedup, mixing, simhash, substring_dedup, token_counts
 from specblock.llm.common import id_bucket, read_table
 
 QUERIES: dict = {}
@@ -67,3 +67,11 @@ kept AS (
   FROM lines LEFT JOIN spread ON trim(line) = t GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, sha256(body) AS kept_sha256 FROM kept
 """
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = decontamination.contamination(docs, items)
+    ids = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
