@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specblock.llm import decontamination, language_id, line_dedup, mixing, simhash, substring_dedup, token_counts
+from specblock.llm import chat_formatting, decontamination, language_id, line_dedup, mixing, nearest, simhash, substring_dedup, token_counts
 from specblock.llm.common import id_bucket, read_table
 
 QUERIES: dict = {}
@@ -75,3 +75,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(docs, items)
     ids = F.sha2(F.array_join("item_ids", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op8_chat_formatting"] = f"""
+WITH turns AS (
+  SELECT conv_id, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+prefixes AS (
+  SELECT conv_id, place, n,
+         string_agg(coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-'), '')
+           OVER (PARTITION BY conv_id ORDER BY place) AS prefix
+  FROM turns),
+maximal AS (
+  SELECT min(conv_id) AS conv_id FROM prefixes e
+  WHERE place = n AND NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.place = e.place AND p.prefix = e.prefix AND p.n > e.n)
+  GROUP BY prefix)
+SELECT t.conv_id, (t.place - 1) // {chat_formatting.CHUNK_TURNS} AS chunk, max(t.n) AS n_turns,
+       string_agg('{chat_formatting.START}' || replace(coalesce(role, ''), '<|', '< |') || chr(10)
+                  || replace(coalesce(text, ''), '<|', '< |') || '{chat_formatting.END}' || chr(10), '' ORDER BY place) AS rendered
+FROM turns t JOIN maximal m ON t.conv_id = m.conv_id GROUP BY 1, 2
+"""
