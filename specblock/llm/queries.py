@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specblock.llm import chat_formatting, decontamination, language_id, line_dedup, mixing, nearest, simhash, substring_dedup, token_counts
+from specblock.llm import chat_formatting, decontamination, language_id, line_dedup, mixing, nearest, ngram_lm, simhash, substring_dedup, token_counts
 from specblock.llm.common import id_bucket, read_table
 
 QUERIES: dict = {}
@@ -107,3 +107,11 @@ SELECT t.conv_id, (t.place - 1) // {chat_formatting.CHUNK_TURNS} AS chunk, max(t
                   || replace(coalesce(text, ''), '<|', '< |') || '{chat_formatting.END}' || chr(10), '' ORDER BY place) AS rendered
 FROM turns t JOIN maximal m ON t.conv_id = m.conv_id GROUP BY 1, 2
 """
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    bucket = id_bucket("doc_id", 5)
+    model = ngram_lm.train_model(docs.where(bucket != 1))
+    return ngram_lm.score(docs, model, ["doc_id", (bucket == 1).alias("held_out")])
