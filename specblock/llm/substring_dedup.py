@@ -45,10 +45,10 @@ WINDOW = 35
 #: Words of the short sequences that anchors are chosen from.
 ANCHOR_WORDS = 8
 #: Rows a task holds to settle equal ones before the exchange.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 17
 #: Words of one text whose windows are handled at once, bounding memory.
 PIECE_WORDS = 1 << 18
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 
 #: Fixed odd multipliers of the two rolling hashes, and of the final mixing.
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
