@@ -7,7 +7,8 @@ lies within three standard errors (and one site) of the threshold are counted
 exactly.  Lines travel as hashes with coordinates, never as text.
 
 Defined results: a null text has no lines and stays null; blank lines are
-never removed; rows whose site is null spread no line, yet lose boilerplate;
+never removed; with `spare_whole`, a text that would lose all its lines keeps
+them (it is a copy, not boilerplate, and left to document dedup); rows whose site is null spread no line, yet lose boilerplate;
 repeated rows add nothing to the spread; null ids are kept; an empty table
 gives none; other columns are ignored.
 """
@@ -46,7 +47,9 @@ def boilerplate(occ: DataFrame, min_sites: int, error: float = ERROR) -> DataFra
     return spread.where(F.col("est") > min_sites + margin).select("h", "h2").union(exact.select("h", "h2"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_sites: int = MIN_SITES, keep: list[str] | None = None, spare_whole: bool = False, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+) -> DataFrame:
     """The columns keep of every row (the id alone by default), kept_text, n_lines and n_removed."""
     keep = [id_col] if keep is None else keep
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.hash(text_col).alias("tag"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
@@ -57,9 +60,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: list[str] | N
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]) & (rows["tag"] == gone["__tag"]), "left")
     lines = lines_of("text")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    untouched = F.col("gone").isNull()
+    if spare_whole:
+        untouched = untouched | (F.size("gone") == F.size(F.filter(lines, lambda line: F.trim(line) != "")))
     return joined.select(
         "kept.*",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("kept_text"),
+        F.when(untouched, F.col("text")).otherwise(left).alias("kept_text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(untouched, 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )

@@ -16,6 +16,12 @@ guarantee; after three levels a bucket has at most a few hundred possible
 values.  Buckets stream through sorted partitions, where a spanning forest of
 the verified links goes on, never all pairs.
 
+A wider radius is covered by parts: of t parts of the positions one holds at
+most radius // t of the differing ones, so a covering of each part by that
+smaller radius covers all.  With further lanes (more fingerprints, by other
+seeds) a link must hold in every lane, which keeps chance links out of a large
+table; the first lane alone deals out the buckets.
+
 Defined results: a null text or one without words has fingerprint zero; fewer
 words than a shingle make one shingle of them all; a row with a null id takes
 part in links but never names a component (null, if none of a component has
@@ -47,16 +53,19 @@ BLOCK = 1 << 16
 PAIRS = 1 << 21
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The unsigned fingerprint of a text."""
+def fingerprint(text: str | None, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """The unsigned fingerprints of a text, one for each seed."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return [0] * len(seeds)
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+        grams = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)))
+    return [_majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, len(grams))) for seed in seeds]
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         block = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -68,28 +77,40 @@ def fingerprint(text: str | None, shingle: int) -> int:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def covering_masks(radius: int, free: int = (1 << BITS) - 1) -> list[int]:
-    """One mask over the free positions for each nonzero vector of radius + 1 bits."""
-    top = (1 << (radius + 1)) - 1
+def covering_masks(radius: int, free: int = (1 << BITS) - 1, parts: int = 1) -> list[int]:
+    """For each part of the free positions, a mask for each nonzero vector of radius // parts + 1 bits."""
+    top = (1 << (radius // parts + 1)) - 1
     positions = [i for i in range(BITS) if free >> i & 1]
-    vectors = {p: 1 + k % top for k, p in enumerate(positions)}
-    return [sum(1 << p for p in positions if (vectors[p] & v).bit_count() & 1) for v in range(1, top + 1)]
+    masks = []
+    for part in range(parts):
+        vectors = {p: 1 + k % top for k, p in enumerate(positions[part::parts])}
+        masks += [sum(1 << p for p, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, top + 1)]
+    return masks
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int, seeds: tuple[int, ...] = (SEED,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tag, fp, fp1, ...) of every row.
+
+    tag is hash(text); fp and its like are the fingerprints' bits as signed longs.
+    """
+    lanes = lane_names(len(seeds))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([signed(fingerprint(t, shingle)) for t in batch.column(1).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            fps = np.array([fingerprint(t, shingle, seeds) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(fps[:, k]) for k in range(len(seeds)))], ["id", "tag", *lanes])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    kinds = ", ".join(f"{lane} long" for lane in lanes)
+    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, tag int, {kinds}")
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+
+def lane_names(n: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, n))]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,17 +129,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[parent[other]]
 
 
-def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star forest of the links within equal values of group, which is sorted."""
+def bucket_links(group: np.ndarray, node: np.ndarray, lanes: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest of the links between nodes within equal values of group, which is sorted."""
     size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
     left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size))
-    bits, found, held = fp.view(np.uint64), [], 0
+    bits, found, held = [lane.view(np.uint64) for lane in lanes], [], 0
     at, step = np.flatnonzero(left > 1), 1
     while len(at):
-        near = np.bitwise_count(bits[at] ^ bits[at + step]) <= radius
-        if near.any():
-            found.append((fp[at[near]], fp[at[near] + step]))
-            held += len(found[-1][0])
+        near = at[np.bitwise_count(bits[0][at] ^ bits[0][at + step]) <= radius]
+        for lane in bits[1:]:
+            near = near[np.bitwise_count(lane[near] ^ lane[near + step]) <= radius]
+        if len(near):
+            found.append((node[near], node[near + step]))
+            held += len(near)
             if held > PAIRS:
                 found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
                 held = len(found[0][0])
@@ -130,76 +153,127 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
 
 
 def _stream_links(keys: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from (table, key, fp); no bucket is larger than the caller allows."""
-
+    """(a, b) from (table, key, node, lanes); no bucket is larger than the caller allows."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        held = None
 
         def links(parts, last):
-            table, key, fp = parts
+            table, key, node = parts[:3]
             change = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
-            end = len(fp) if last else (change[-1] if len(change) else 0)
+            end = len(node) if last else (change[-1] if len(change) else 0)
             ids = np.zeros(end, np.int64)
             ids[change[change < end]] = 1
-            a, b = bucket_links(np.cumsum(ids), fp[:end], radius) if end > 1 else (np.empty(0, np.int64),) * 2
+            a, b = bucket_links(np.cumsum(ids), node[:end], [p[:end] for p in parts[3:]], radius) if end > 1 else (np.empty(0, np.int64),) * 2
             return [p[end:] for p in parts], pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held, out = links([np.concatenate(p) for p in zip(held, new, strict=True)], False)
+            held, out = links(new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)], False)
             yield out
-        if len(held[0]):
+        if held is not None and len(held[0]):
             yield links(held, True)[1]
 
-    n = shuffle_partitions(keys)
-    placed = keys.repartition(n, "table", "key").sortWithinPartitions("table", "key")
+    placed = keys.repartition(shuffle_partitions(keys), "table", "key").sortWithinPartitions("table", "key")
     return placed.mapInArrow(work, "a long, b long")
 
 
-def radius_links(fps: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): a set of links whose components are those of all pairs within radius.
+class Masks:
+    """The tree of masks: each bucket's mask has children that cover the positions it leaves free."""
+
+    def __init__(self, radius: int, parts: int):
+        self.radius, self.parts = radius, parts
+        self.per = len(covering_masks(radius, parts=parts))
+        self.known: dict[int, list[int]] = {0: covering_masks(radius, parts=parts)}
+
+    def children(self, table: int) -> list[int]:
+        """Masks of the tables table * per + 1, ..., below a table (0: the top)."""
+        if table not in self.known:
+            own = self.children((table - 1) // self.per)[(table - 1) % self.per]
+            finer = covering_masks(self.radius, ((1 << BITS) - 1) & ~own, self.parts)
+            self.known[table] = [own | f for f in finer]
+        return self.known[table]
+
 
-    fps (fp long) holds distinct fingerprints.
+def _spread(members: DataFrame, masks: Masks) -> DataFrame:
+    """(table, key, node, lanes): each member of a table (table, node, lanes) in the tables below it."""
+    names = members.columns[1:]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, fp = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for own in np.unique(table).tolist():
+                at = np.flatnonzero(table == own)
+                rows = [c.take(pa.array(at)) for c in batch.columns[1:]]
+                for k, mask in enumerate(masks.children(own)):
+                    below = np.full(len(at), own * masks.per + k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(below), pa.array(fp[at] & np.int64(signed(mask))), *rows], ["table", "key", *names])
+
+    kinds = ", ".join(f"{c} long" for c in names)
+    return members.mapInArrow(work, f"table long, key long, {kinds}")
+
+
+def radius_links(fps: DataFrame, radius: int, parts: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b) between nodes: links whose components are those of all pairs within radius.
+
+    fps holds distinct nodes (node long) with their fingerprints (fp and further lanes).
     """
-    full = (1 << BITS) - 1
-    masks = covering_masks(radius)
-    members = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("table"))
+    lanes = [c for c in fps.columns if c != "node"]
+    masks = Masks(radius, parts)
+    members = fps.select(F.lit(0).cast("long").alias("table"), "node", *lanes)
     found = None
     for level in range(1, LEVELS + 1):
-        of_table = F.element_at(F.array(*map(F.lit, map(signed, masks))), F.col("table") + 1)
-        keys = members.select("table", F.col("fp").bitwiseAND(of_table).alias("key"), "fp")
+        keys = _spread(members, masks)
         hot = None
         if level < LEVELS:
             hot = cut(keys.groupBy("table", "key").count().where(F.col("count") > bucket_rows).select("table", "key"))
             hot = None if hot.isEmpty() else hot
-        links = _stream_links(keys if hot is None else keys.join(hot, ["table", "key"], "left_anti").select("table", "key", "fp"), radius)
+        cool = keys if hot is None else keys.join(hot, ["table", "key"], "left_anti").select(keys.columns)
+        links = _stream_links(cool, radius)
         found = links if found is None else found.union(links)
         if hot is None:
             break
-        finer = [covering_masks(radius, full & ~m) for m in masks]
-        per = len(finer[0])
-        members = cut(
-            keys.join(hot, ["table", "key"], "left_semi").select("fp", F.explode(F.sequence(F.col("table") * per, F.col("table") * per + (per - 1))).alias("table"))
-        )
-        masks = [m | f for m, fine in zip(masks, finer, strict=True) for f in fine]
+        members = cut(keys.join(hot, ["table", "key"], "left_semi").select("table", "node", *lanes))
     return found
 
 
-def components(marked: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints in marked (id, fp).
+def components(marked: DataFrame, radius: int, parts: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The distinct fingerprints in marked (id, tag, fp, further lanes) with label and component_id.
 
-    component_id is the smallest id that is reachable by links.
+    component_id is the smallest id that is reachable by links; label tells components apart.
     """
-    fps = cut(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    joined = connected_components(radius_links(fps.select("fp"), radius, bucket_rows))
-    named = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("label"))
-    named = cut(named)
+    lanes = [c for c in marked.columns if c not in ("id", "tag")]
+    node = F.col("fp") if len(lanes) == 1 else F.xxhash64(*lanes)
+    fps = cut(marked.groupBy(*lanes).agg(F.min("id").alias("rep")).withColumn("own", node))
+    joined = connected_components(radius_links(fps.select(F.col("own").alias("node"), *lanes), radius, parts, bucket_rows))
+    named = cut(fps.join(joined, fps["own"] == joined["node"], "left").select(*lanes, "rep", F.coalesce("component", "own").alias("label")))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return named.join(least, "label").select("fp", "component_id")
+    return named.join(least, "label").select(*lanes, "label", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, radius: int = 3, parts: int = 1, seeds: tuple[int, ...] = (SEED,), bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id_col, fingerprint (16 hex digits of the first lane), component_id of every row of docs."""
+    marked = cut(fingerprints(docs, shingle, seeds, id_col, text_col))
+    named = components(marked, radius, parts, bucket_rows)
+    whole = marked.join(named, lane_names(len(seeds)))
+    return whole.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fingerprint (16 hex digits), component_id of every row of docs."""
-    marked = cut(fingerprints(docs, shingle, id_col, text_col))
-    named = components(marked, radius, bucket_rows)
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, radius: int = 11, parts: int = 2, seeds: tuple[int, ...] = (SEED, SEED + 1), bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest id stays.
+
+    With shingles of five words, a distance of 11 bits in each of two lanes
+    stands for a similarity (Jaccard) of about 0.8.
+    """
+    marked = cut(fingerprints(docs, shingle, seeds, id_col, text_col))
+    named = components(marked, radius, parts, bucket_rows)
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("tag").alias("tag"))).alias("first")
+    kept = marked.join(named, lane_names(len(seeds))).groupBy("label").agg(first).select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag"))
+    kept = kept.hint("shuffle_hash")
+    left = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (F.hash(docs[text_col]) == kept["__tag"]), "left_semi")
+    # Rows that share id and text are one another's copies as well.
+    repeated = marked.groupBy("id", "tag").count().where("count > 1")
+    return left if repeated.isEmpty() else left.withColumn("__tag", F.hash(text_col)).dropDuplicates([id_col, "__tag"]).drop("__tag")
