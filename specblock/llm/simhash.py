@@ -10,11 +10,12 @@ them: its mask keeps none of these positions and the pair shares a bucket.
 Every link is found, none by chance.
 
 Fingerprints are made distinct first, so exact copies and empty texts cost one
-row.  A bucket of over `bucket_rows` fingerprints is split again by the same
-construction over the positions its mask left free, which keeps the
-guarantee; after three levels a bucket has at most a few hundred possible
-values.  Buckets stream through sorted partitions, where a spanning forest of
-the verified links goes on, never all pairs.
+row.  Buckets stream through sorted partitions, where a spanning forest of the
+verified links goes on, never all pairs.  A bucket of over `bucket_rows`
+fingerprints is not held: its members stream on to a further level, which
+splits it by the same construction over the positions its mask left free.
+That keeps the guarantee, and after three levels a bucket has at most a few
+hundred possible values of these positions.
 
 A wider radius is covered by parts: of t parts of the positions one holds at
 most radius // t of the differing ones, so a covering of each part by that
@@ -50,7 +51,7 @@ BUCKET_ROWS = 4096
 LEVELS = 3
 #: Shingles whose bits are counted at once, and pairs held before they become a forest.
 BLOCK = 1 << 16
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -80,10 +81,12 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def covering_masks(radius: int, free: int = (1 << BITS) - 1, parts: int = 1) -> list[int]:
     """For each part of the free positions, a mask for each nonzero vector of radius // parts + 1 bits."""
     top = (1 << (radius // parts + 1)) - 1
+    # Odd vectors first: where positions are few, every mask still keeps about half of them.
+    order = [*range(1, top + 1, 2), *range(2, top + 1, 2)]
     positions = [i for i in range(BITS) if free >> i & 1]
     masks = []
     for part in range(parts):
-        vectors = {p: 1 + k % top for k, p in enumerate(positions[part::parts])}
+        vectors = {p: order[k % top] for k, p in enumerate(positions[part::parts])}
         masks += [sum(1 << p for p, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, top + 1)]
     return masks
 
@@ -152,29 +155,54 @@ def bucket_links(group: np.ndarray, node: np.ndarray, lanes: list[np.ndarray], r
     return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
-def _stream_links(keys: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from (table, key, node, lanes); no bucket is larger than the caller allows."""
+def _stream_links(keys: DataFrame, radius: int, bucket_rows: int | None) -> DataFrame:
+    """(table, a, b, more) from (table, key, node, lanes).
+
+    Rows of table -1 are links (a, b); the others are members of buckets of
+    over bucket_rows rows, with node in a and the lanes in b and more.
+    """
+    lanes = keys.columns[3:]
+    names = ["table", "a", "b", *lanes[1:]]
+
+    def batch_of(table, a, b, more):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (table, a, b, *more)], names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[np.ndarray] | None = None
+        passing = None  # table and key of the bucket whose members stream on
 
-        def links(parts, last):
+        def settle(parts, last):
+            nonlocal held, passing
             table, key, node = parts[:3]
-            change = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
-            end = len(node) if last else (change[-1] if len(change) else 0)
-            ids = np.zeros(end, np.int64)
-            ids[change[change < end]] = 1
-            a, b = bucket_links(np.cumsum(ids), node[:end], [p[:end] for p in parts[3:]], radius) if end > 1 else (np.empty(0, np.int64),) * 2
-            return [p[end:] for p in parts], pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            edges = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(node))
+            large = ends - starts > bucket_rows if bucket_rows else np.zeros(len(starts), bool)
+            if passing is not None and (table[0], key[0]) == passing:
+                large[0] = True
+            passing = (table[-1], key[-1]) if large[-1] and not last else None
+            # The last bucket may go on: it waits, unless its members stream on already.
+            waits = not last and not large[-1]
+            done = int(starts[-1]) if waits else len(node)
+            held = [p[done:] for p in parts] if waits else None
+            sizes = (ends - starts)[: len(starts) - waits]
+            on = np.repeat(large[: len(sizes)], sizes)
+            if on.any():
+                yield batch_of(*(p[:done][on] for p in (table, node, parts[3])), [p[:done][on] for p in parts[4:]])
+            group = np.repeat(np.arange(len(sizes)), sizes)[~on]
+            if len(group) > 1:
+                a, b = bucket_links(group, node[:done][~on], [p[:done][~on] for p in parts[3:]], radius)
+                if len(a):
+                    yield batch_of(np.full(len(a), -1), a, b, [np.zeros(len(a), np.int64)] * (len(lanes) - 1))
 
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held, out = links(new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)], False)
-            yield out
+            if batch.num_rows:
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                yield from settle(new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)], False)
         if held is not None and len(held[0]):
-            yield links(held, True)[1]
+            yield from settle(held, True)
 
     placed = keys.repartition(shuffle_partitions(keys), "table", "key").sortWithinPartitions("table", "key")
-    return placed.mapInArrow(work, "a long, b long")
+    return placed.mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 class Masks:
@@ -206,10 +234,13 @@ def _spread(members: DataFrame, masks: Masks) -> DataFrame:
                 rows = [c.take(pa.array(at)) for c in batch.columns[1:]]
                 for k, mask in enumerate(masks.children(own)):
                     below = np.full(len(at), own * masks.per + k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(below), pa.array(fp[at] & np.int64(signed(mask))), *rows], ["table", "key", *names])
+                    # Keys are told apart by 32 bits: if two share them, a bucket holds more, never less.
+                    bits = fp[at].view(np.uint64) & np.uint64(mask)
+                    key = ((bits ^ (bits >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(below), pa.array(key), *rows], ["table", "key", *names])
 
     kinds = ", ".join(f"{c} long" for c in names)
-    return members.mapInArrow(work, f"table long, key long, {kinds}")
+    return members.mapInArrow(work, f"table long, key int, {kinds}")
 
 
 def radius_links(fps: DataFrame, radius: int, parts: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -222,17 +253,13 @@ def radius_links(fps: DataFrame, radius: int, parts: int = 1, bucket_rows: int =
     members = fps.select(F.lit(0).cast("long").alias("table"), "node", *lanes)
     found = None
     for level in range(1, LEVELS + 1):
-        keys = _spread(members, masks)
-        hot = None
-        if level < LEVELS:
-            hot = cut(keys.groupBy("table", "key").count().where(F.col("count") > bucket_rows).select("table", "key"))
-            hot = None if hot.isEmpty() else hot
-        cool = keys if hot is None else keys.join(hot, ["table", "key"], "left_anti").select(keys.columns)
-        links = _stream_links(cool, radius)
+        out = cut(_stream_links(_spread(members, masks), radius, bucket_rows if level < LEVELS else None))
+        links = out.where("table = -1").select("a", "b")
         found = links if found is None else found.union(links)
-        if hot is None:
+        rest = out.where("table <> -1")
+        if rest.isEmpty():
             break
-        members = cut(keys.join(hot, ["table", "key"], "left_semi").select("table", "node", *lanes))
+        members = rest.select("table", F.col("a").alias("node"), F.col("b").alias(lanes[0]), *lanes[1:])
     return found
 
 
