@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,3 +61,9 @@ def stored(df: DataFrame) -> DataFrame:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver see what is no longer referenced, so that its shuffle files and checkpoints go."""
+    gc.collect()
+    spark._jvm.System.gc()
