@@ -8,4 +8,4 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "dct_stats_g8"
+FLAGSHIP = "find_duplicates_g5"
