@@ -53,14 +53,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _on_its_store(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop sees them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; deleted when the session ends."""
+    """df written as Parquet to the shared folder and read again; deleted when the session ends, or by discard()."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    there, store = _on_its_store(spark, path)
+    store.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote; df must not be read any more."""
+    there, store = _on_its_store(df.sparkSession, df._stored_path)
+    store.delete(there, True)
 
 
 def release(spark: SparkSession) -> None:
