@@ -188,6 +188,7 @@ def nearest(
     shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.min(norm).alias("low")).orderBy(F.desc("n"), F.desc("dim")).first()
     dim, total, top, low = shape if shape else (1, 0, 1.0, 1.0)
     hashes = Tables(dim, top, top - low > 1e-6 * top, tables, seed)
+    probes = min(probes, hashes.width)
     rows = rows.where(F.size("v") == dim).withColumn("asks", is_query)
     # Equal vectors become one class, named by its smallest id, with its k + 1 smallest ids.
     classes = _classes(rows, k + 1)
