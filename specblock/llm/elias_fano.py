@@ -46,37 +46,46 @@ class Sequence:
     """Reads a code from its parts, which may be memory-mapped."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, words: np.ndarray, ranks: np.ndarray):
-        self.n, self.low_bits, self.low, self.words, self.ranks = n, low_bits, low, words, ranks
-        self.zeros = np.arange(len(ranks), dtype=np.int64) * 64 - ranks.astype(np.int64)
+        self.n, self.low_bits, self.words = n, low_bits, words
+        # Eight bytes from any byte on: low bits are read where they lie.
+        self.low = np.ndarray(max(0, len(low) - 7), "<u8", low.data if low.flags.c_contiguous else low.tobytes(), strides=(1,))
+        # The directory (a bit for two of the code) is widened once, not at every search.
+        self.ranks = ranks.astype(np.int64)
+        self.zeros = np.arange(len(ranks), dtype=np.int64) * 64 - self.ranks
 
     def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
         ranks = self.ranks if ones else self.zeros
         word = np.searchsorted(ranks, i, "right") - 1
         word = np.minimum(word, len(self.words) - 1)
         value = self.words[word] if ones else ~self.words[word]
-        return word * 64 + _in_word(value, i - ranks[word].astype(np.int64))
+        return word * 64 + _in_word(value, i - ranks[word])
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
         bit = i * self.low_bits
-        raw = self.low[(bit >> 3)[:, None] + np.arange(8)].view(np.uint64)[:, 0]
+        raw = self.low[bit >> 3]
         return ((raw >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i) << self.low_bits) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value >= x (n if there is none)."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value >= x (n if there is none), and whether it equals x."""
         high, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         last = int(self.zeros[-1]) - 1
         far = high > last
         high = np.minimum(high, last)
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        end = np.minimum(self._select(high, False) - high, self.n)
+        stop = np.minimum(self._select(high, False) - high, self.n)
+        end = stop.copy()
         while len(open_ := np.flatnonzero(start < end)):
             mid = (start[open_] + end[open_]) >> 1
             less = self._lows(mid) < low[open_]
             start[open_] = np.where(less, mid + 1, start[open_])
             end[open_] = np.where(less, end[open_], mid)
-        return np.where(far, self.n, start)
+        # Within the values that share x's high bits, equal low bits are equality.
+        same = np.zeros(len(x), bool)
+        near = np.flatnonzero((start < stop) & ~far)
+        same[near] = self._lows(start[near]) == low[near]
+        return np.where(far, self.n, start), same

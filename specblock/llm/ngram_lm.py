@@ -34,6 +34,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +44,21 @@ from pyspark.sql import functions as F
 
 from specblock.llm import elias_fano
 from specblock.llm.common import shuffle_partitions
-from specblock.llm.substring_dedup import Hasher
-from specblock.session import cut
+from specblock.llm.word_arrays import WordHasher, mixed
+from specblock.session import discard, ensure_checkpoint_dir, release, stored
 
 ORDER = 3
 DISCOUNT = 0.75
 KEPT_FROM = 2
 #: Tokens handled at once, and quantisation steps for each unit of log10.
 CHUNK_TOKENS = 1 << 19
+#: Entries of a level that one part holds, about.
+PART_ENTRIES = 1 << 20
 STEPS = 4096
-#: The token that ends a text: no word, as words hold no blank.
-END = b" "
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Rows that a task holds to combine equal ones.
+HELD_ROWS = 1 << 21
+#: Stands among the hashes for the token that ends a text.
+END = 0x5EED0F7E87E11D
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -66,16 +70,15 @@ def dequantise(code: np.ndarray) -> np.ndarray:
     return np.where(code == 0, 0.0, -(code.astype(np.float64) - 1) / STEPS)
 
 
-def text_hashes(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def text_hashes(texts: list[str | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (int64) of all tokens, ends included, and the number of each text."""
-    words: list[bytes] = []
-    sizes = []
-    for text in texts:
-        own = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-        words += own
-        words.append(END)
-        sizes.append(len(own) + 1)
-    return hasher.words(words).view(np.int64), np.array(sizes, np.int64)
+    words, sizes = hasher.tokens(texts)
+    sizes = sizes + 1
+    out = np.full(len(words) + len(sizes), END)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    out[is_word] = words.view(np.int64)
+    return out, sizes
 
 
 def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -100,13 +103,42 @@ class Model:
         self.levels: list[list[dict]] = []
 
     def file(self, key: str) -> np.ndarray:
+        """The array of a key, memory-mapped: from the shared folder or this executor's copy."""
         name, dtype, n = self.arrays[key]
-        return np.memmap(SparkFiles.get(name), dtype, "r", shape=(n,)) if n else np.empty(0, dtype)
+        path = name if os.path.isabs(name) else SparkFiles.get(name)
+        return np.memmap(path, dtype, "r", shape=(n,)).view(np.ndarray) if n else np.empty(0, dtype)
 
     def reader(self) -> Reader:
         return Reader(self)
 
 
+#: Bits of the filter for each entry, and hash bits that an entry sets.
+FILTER_BITS, FILTER_PROBES = 10, 3
+
+
+def _probes(size: int, keys: np.ndarray) -> Iterator[np.ndarray]:
+    h = keys.view(np.uint64)
+    for k in range(FILTER_PROBES):
+        h = mixed(h + np.uint64(k + 1))
+        yield (h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
+
+
+def _filter_of(keys: np.ndarray) -> np.ndarray:
+    size = -(-len(keys) * FILTER_BITS // 8) * 8
+    bits = np.zeros(size, np.uint8)
+    for at in _probes(size, keys):
+        bits[at] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    size = len(bits) * 8
+    ok = np.ones(len(keys), bool)
+    for at in _probes(size, keys):
+        ok &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
 class Reader:
     """A worker's view of the files."""
 
@@ -128,19 +160,19 @@ class Reader:
             return blob[offset : offset + n * np.dtype(dtype).itemsize].view(dtype)
 
         code = lambda name: elias_fano.Sequence(*meta[name], array(f"{name}_low"), array(f"{name}_words"), array(f"{name}_ranks"))
-        return meta["first_context"], meta["contexts"], meta["start"], code("pointers"), code("values"), array("probs")
+        return meta["first_context"], meta["contexts"], meta["start"], code("pointers"), code("values"), array("probs"), array("filter")
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in the vocabulary; -1 for words that training lacks."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary (-1 for words that training lacks), and log10 of the lowest level."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == distinct, at, -1)[back]
-
-    def log_unigram(self, ids: np.ndarray) -> np.ndarray:
-        counts = np.where(ids >= 0, self.counts[ids], 0) if len(self.counts) else np.zeros(len(ids))
-        return np.log10((counts + 0.5) / (self.model.tokens + 0.5 * (self.model.types + 1)))
+        ids, counts = np.full(len(distinct), -1), np.zeros(len(distinct))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
+            known = self.hashes[at] == distinct
+            ids[known] = at[known]
+            counts[known] = self.counts[at[known]]
+        lp = np.log10((counts + 0.5) / (self.model.tokens + 0.5 * (self.model.types + 1)))
+        return ids[back], lp[back]
 
     def find(self, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (-1: none) and log10 probabilities of (context, word) at level n."""
@@ -148,28 +180,38 @@ class Reader:
         distinct, back = np.unique(key, return_inverse=True)
         place, prob = np.full(len(distinct), -1), np.zeros(len(distinct))
         bounds = np.append(np.searchsorted(distinct, self.first_keys[n]), len(distinct))
-        for (first_context, contexts, start, pointers, values, probs), low, high in zip(self.parts[n], bounds, bounds[1:], strict=False):
+        for (first_context, contexts, start, pointers, values, probs, bits), low, high in zip(self.parts[n], bounds, bounds[1:], strict=False):
             if low == high:
                 continue
-            c, w = distinct[low:high] // self.base - first_context, distinct[low:high] % self.base
-            at = np.flatnonzero(c < contexts)
-            begin, end = pointers.get(c[at]), pointers.get(c[at] + 1)
-            some = begin < end
-            at, begin, end = at[some], begin[some], end[some]
+            # Most keys are in no trie: a few bits of each entry's hash turn them away.
+            at = np.flatnonzero(_passes(bits, distinct[low:high]))
+            c, w = distinct[low + at] // self.base - first_context, distinct[low + at] % self.base
+            inside = c < contexts
+            at, c, w = at[inside], c[inside], w[inside]
             if not len(at):
                 continue
-            origin = np.where(begin > 0, values.get(np.maximum(begin - 1, 0)) + 1, 0)
-            wanted = origin + w[at]
-            found = values.successor(wanted)
-            ok = found < end
-            ok[ok] = values.get(found[ok]) == wanted[ok]
+            # Keys are sorted: each context's bounds and origin are read once.
+            new = np.append(True, c[1:] != c[:-1])
+            each = c[new]
+            begin, end = pointers.get(each), pointers.get(each + 1)
+            origin = np.zeros(len(each), np.int64)
+            later = np.flatnonzero((begin > 0) & (begin < end))
+            origin[later] = values.get(begin[later] - 1) + 1
+            of = np.cumsum(new) - 1
+            some = (begin < end)[of]
+            at, of = at[some], of[some]
+            found, same = values.successor(origin[of] + w[some])
+            ok = same & (found < end[of])
             place[low + at[ok]] = start + found[ok]
             prob[low + at[ok]] = dequantise(probs[found[ok]])
         return place[back], prob[back]
 
-    def entries(self, ids: np.ndarray, begins: np.ndarray, top: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """For tokens, of which some begin a text: their place at each level up to top, and log10 P."""
-        places, lp = [ids], self.log_unigram(ids)
+    def entries(self, ids: np.ndarray, lowest: np.ndarray, begins: np.ndarray, top: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For tokens, of which some begin a text: their place at each level up to top, and log10 P.
+
+        lowest is log10 P at the lowest level.
+        """
+        places, lp = [ids], lowest.copy()
         since = np.arange(len(ids)) - np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
         for n in range(2, top + 1):
             before = places[-1]
@@ -190,11 +232,20 @@ class Reader:
 
 
 class _Files:
-    """Streams arrays to files of the driver and ships each to the executors once."""
+    """Streams arrays to files that every executor can map.
+
+    Where the shared folder is a mounted file system they are written there;
+    for any other store they are written on the driver and shipped to each
+    executor with SparkContext.addFile.
+    """
 
     def __init__(self, spark):
         self.context = spark.sparkContext
-        self.folder = tempfile.mkdtemp(prefix="specblock-lm-")
+        shared = urlparse(ensure_checkpoint_dir(spark))
+        self.mounted = shared.scheme in ("", "file")
+        self.folder = tempfile.mkdtemp(prefix="specblock-lm-", dir=unquote(shared.path) if self.mounted else None)
+        if self.mounted:
+            os.chmod(self.folder, 0o755)
         atexit.register(shutil.rmtree, self.folder, True)
         self.tag = uuid.uuid4().hex
 
@@ -204,17 +255,94 @@ class _Files:
     def ship(self, model: Model, key: str, dtype: str) -> None:
         path = self.path(key)
         n = os.path.getsize(path) // np.dtype(dtype).itemsize
-        if n:
+        if n and not self.mounted:
             self.context.addFile(path)
-        model.arrays[key] = (os.path.basename(path), dtype, n)
+        model.arrays[key] = (path if self.mounted else os.path.basename(path), dtype, n)
+
+
+    def gather(self, blobs: DataFrame, columns: dict[str, str]) -> list:
+        """Writes binary columns (column: file), in the order of `first`, and tells of each row.
+
+        blobs is stored, read row by row and discarded.  Returns (first, size,
+        meta, offsets by column) of the rows in order.
+        """
+        blobs = stored(blobs)
+        meta = [F.col("meta")] if "meta" in blobs.columns else [F.lit(None).alias("meta")]
+        known = blobs.select("first", "size", *meta, *(F.length(c).alias(c) for c in columns)).collect()
+        known.sort(key=lambda r: r["first"])
+        offsets, ends = {}, dict.fromkeys(columns, 0)
+        for row in known:
+            offsets[row["first"]] = dict(ends)
+            for c in columns:
+                ends[c] += row[c]
+        for c, name in columns.items():
+            with open(self.path(name), "wb") as out:
+                out.truncate(ends[c])
+        files = {c: open(self.path(name), "r+b") for c, name in columns.items()}  # noqa: SIM115
+        for row in blobs.select("first", *columns).toLocalIterator():
+            for c, out in files.items():
+                out.seek(offsets[row["first"]][c])
+                out.write(row[c])
+        for out in files.values():
+            out.close()
+        discard(blobs)
+        return [(r["first"], r["size"], r["meta"], offsets[r["first"]]) for r in known]
 
 
 def _combined(keys: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys, the first of more for each, and how often it stands."""
+    """Distinct keys, one of more for each, and how often it stands."""
+    if not more:
+        return list(np.unique(keys, return_counts=True))
     distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
     return [distinct, *(m[first] for m in more), n]
 
 
+def _merged(found: Iterator[list[np.ndarray]], joined: bool = False) -> Iterator[list[np.ndarray]]:
+    """Joins blocks of (keys, ..., n) into larger ones of distinct, sorted keys; with joined into one."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def join():
+        keys, *more, n = map(np.concatenate, zip(*held, strict=True))
+        by = np.argsort(keys)
+        keys = keys[by]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return [keys[first], *(m[by][first] for m in more), np.add.reduceat(n[by], first)]
+
+    for block in found:
+        if len(block[0]):
+            held.append(block)
+            size += len(block[0])
+        if size > HELD_ROWS and not joined:
+            yield join()
+            held, size = [], 0
+    if held:
+        yield join()
+
+
+def _summed(rows: DataFrame, names: list[str], least: int) -> DataFrame:
+    """rows (key, ..., n) with n summed by key, where it is least or more.
+
+    Tasks have combined their own rows already; after the exchange each
+    partition folds its batches into sorted distinct keys.
+    """
+
+    def work(batches):
+        whole: list[np.ndarray] | None = None
+        for block in _merged([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches):
+            whole = block if whole is None else next(_merged(iter([whole, block]), joined=True))
+        if whole is not None:
+            keep = whole[-1] >= least
+            yield from _slices([c[keep] for c in whole], names)
+
+    return rows.repartition(shuffle_partitions(rows), "key").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+
+
+def _slices(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[str | None]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
@@ -225,31 +353,28 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[
 
 def _vocabulary(train: DataFrame, model: Model, files: _Files) -> None:
     def count(batches):
-        hasher = Hasher()
-        for texts in _texts(batches):
-            distinct, n = _combined(text_hashes(texts, hasher)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["h", "n"])
+        hasher = WordHasher()
+        for block in _merged(_combined(text_hashes(texts, hasher)[0]) for texts in _texts(batches)):
+            yield from _slices(block, ["h", "n"])
 
     def pack(batches):
         for batch in batches:
             if batch.num_rows:
                 h, n = (c.to_numpy() for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array([int(h[0])]), pa.array([len(h)]), pa.array([h.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["first", "size", "hash", "count"])
+                numbers = [int(h[0]), len(h), int(n.sum())]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in numbers), *(pa.array([x.tobytes()], pa.binary()) for x in (h, n))], ["first", "size", "tokens", "hash", "count"])
 
     parts = shuffle_partitions(train)
     counts = train.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    blobs = cut(counts.repartitionByRange(parts, "h").sortWithinPartitions("h").mapInArrow(pack, "first long, size long, hash binary, count binary"))
-    with open(files.path("hash"), "wb") as hashes, open(files.path("count"), "wb") as numbers:
-        for row in blobs.orderBy("first").toLocalIterator():
-            hashes.write(row["hash"])
-            numbers.write(row["count"])
-            model.types += row["size"]
-            model.tokens += int(np.frombuffer(row["count"], np.int64).sum())
+    blobs = counts.repartitionByRange(parts, "h").sortWithinPartitions("h").mapInArrow(pack, "first long, size long, tokens long, hash binary, count binary")
+    for _, size, tokens, _ in files.gather(blobs.withColumnRenamed("tokens", "meta"), {"hash": "hash", "count": "count"}):
+        model.types += size
+        model.tokens += tokens
     files.ship(model, "hash", "int64")
     files.ship(model, "count", "int64")
 
 
-def _build_part(context: np.ndarray, word: np.ndarray, probs: np.ndarray) -> tuple[bytes, dict]:
+def _build_part(key: np.ndarray, context: np.ndarray, word: np.ndarray, probs: np.ndarray) -> tuple[bytes, dict]:
     """The bytes of one part of a level and where its arrays lie."""
     contexts = int(context[-1] - context[0]) + 1
     new = np.append(True, context[1:] != context[:-1])
@@ -262,7 +387,7 @@ def _build_part(context: np.ndarray, word: np.ndarray, probs: np.ndarray) -> tup
     for name, code in (("pointers", pointers), ("values", values)):
         for part in ("words", "ranks", "low"):
             arrays[f"{name}_{part}"] = code[part]
-    arrays["probs"] = probs
+    arrays |= {"probs": probs, "filter": _filter_of(key)}
     where = {}
     for name, a in arrays.items():
         raw = a.tobytes()
@@ -278,29 +403,31 @@ def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, di
     """Counts, smooths and ships level n with the help of the levels below."""
     base = model.types + 1
 
-    def count(batches):
-        hasher, reader = Hasher(), model.reader()
+    def blocks(batches):
+        hasher, reader = WordHasher(), model.reader()
         lower = reader.counts
         for texts in _texts(batches):
             hashes, sizes = text_hashes(texts, hasher)
-            ids = reader.ids(hashes)
+            ids, lowest = reader.lookup(hashes)
             begins = np.zeros(len(ids), bool)
             begins[np.cumsum(sizes) - sizes] = True
-            places = reader.entries(ids, begins, n - 1)[0]
+            places = reader.entries(ids, lowest, begins, n - 1)[0]
             since = np.arange(len(ids)) - np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
             at = np.flatnonzero(since >= n - 1)
             context, low = places[-1][at - 1], places[-1][at]
             # Both shorter parts must stay for an n-gram to stay.
             ok = (lower[context] >= KEPT_FROM) & (lower[low] >= KEPT_FROM) if n == 2 else (context >= 0) & (low >= 0)
-            key, low, times = _combined(context[ok] * base + ids[at[ok]], low[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(low), pa.array(times)], ["key", "low", "n"])
+            # At the second level the lower entry is the word itself, and need not travel.
+            yield _combined(context[ok] * base + ids[at[ok]], *([low[ok]] if n > 2 else []))
+
+    names = ["key", "low", "n"] if n > 2 else ["key", "n"]
+
+    def count(batches):
+        for block in _merged(blocks(batches)):
+            yield from _slices(block, names)
 
-    rows = train.mapInArrow(count, "key long, low long, n long")
-    if n == 2:  # the lower entry is the word itself
-        counted = rows.drop("low").groupBy("key").agg(F.sum("n").alias("n")).withColumn("low", F.col("key") % base)
-    else:
-        counted = rows.groupBy("key").agg(F.first("low").alias("low"), F.sum("n").alias("n"))
-    counted = cut(counted.where(F.col("n") >= KEPT_FROM).select("key", "low", "n"))
+    rows = train.mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    counted = stored(_summed(rows, names, KEPT_FROM))
 
     def left_mass(batches):
         totals = model.file("count" if n == 2 else f"count{n - 1}")
@@ -316,8 +443,10 @@ def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, di
         out.truncate(2 * size)
     if size:
         dense = np.memmap(files.path(f"backoff{n}"), np.uint16, "r+", shape=(size,))
-        for row in cut(by_context.mapInArrow(left_mass, "context binary, code binary")).toLocalIterator():
+        codes_of = stored(by_context.mapInArrow(left_mass, "context binary, code binary"))
+        for row in codes_of.toLocalIterator():
             dense[np.frombuffer(row["context"], np.int64)] = np.frombuffer(row["code"], np.uint16)
+        discard(codes_of)
         dense.flush()
     files.ship(model, f"backoff{n}", "uint16")
     model.levels.append([])
@@ -326,36 +455,33 @@ def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, di
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
-        key, low, times = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in range(3))
+        key, *low, times = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in range(len(names)))
         context, word = key // base, key % base
         totals, codes = model.file("count" if n == 2 else f"count{n - 1}"), model.file(f"backoff{n}")
         if n == 2:
             counts = model.file("count")
-            under = (counts[low] + 0.5) / (model.tokens + 0.5 * (model.types + 1))
+            under = (counts[word] + 0.5) / (model.tokens + 0.5 * (model.types + 1))
         else:
-            under = 10 ** dequantise(model.file(f"prob{n - 1}")[low])
+            under = 10 ** dequantise(model.file(f"prob{n - 1}")[low[0]])
         p = (times - discount) / totals[context] + 10 ** dequantise(codes[context]) * under
         probs = quantise(np.log10(np.minimum(p, 1.0)))
-        blob, meta = _build_part(context, word, probs)
+        blob, meta = _build_part(key, context, word, probs)
         more = [times.astype(np.int64).tobytes(), probs.tobytes()] if n < order else [b"", b""]
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(key[0])]), pa.array([len(key)]), pa.array([blob], pa.binary()), pa.array([repr(meta)]), *(pa.array([m], pa.binary()) for m in more)],
             ["first", "size", "blob", "meta", "counts", "probs"],
         )
 
-    placed = counted.repartitionByRange(shuffle_partitions(train), "key").sortWithinPartitions("key")
-    blobs = cut(placed.mapInArrow(build, "first long, size long, blob binary, meta string, counts binary, probs binary"))
-    start = offset = 0
-    with open(files.path(f"level{n}"), "wb") as out, open(files.path(f"count{n}"), "wb") as counts, open(files.path(f"prob{n}"), "wb") as probs:
-        for row in blobs.orderBy("first").toLocalIterator():
-            meta = ast.literal_eval(row["meta"])
-            meta["arrays"] = {k: (o + offset, d, m) for k, (o, d, m) in meta["arrays"].items()}
-            model.levels[-1].append(meta | {"first_key": row["first"], "start": start})
-            out.write(row["blob"])
-            counts.write(row["counts"])
-            probs.write(row["probs"])
-            start += row["size"]
-            offset += len(row["blob"])
+    parts = max(1, -(-counted.count() // PART_ENTRIES))
+    placed = counted.repartitionByRange(parts, "key").sortWithinPartitions("key")
+    blobs = placed.mapInArrow(build, "first long, size long, blob binary, meta string, counts binary, probs binary")
+    start = 0
+    for first, size, text, offset in files.gather(blobs, {"blob": f"level{n}", "counts": f"count{n}", "probs": f"prob{n}"}):
+        meta = ast.literal_eval(text)
+        meta["arrays"] = {k: (o + offset["blob"], d, m) for k, (o, d, m) in meta["arrays"].items()}
+        model.levels[-1].append(meta | {"first_key": first, "start": start})
+        start += size
+    discard(counted)
     files.ship(model, f"level{n}", "uint8")
     if n < order:
         files.ship(model, f"count{n}", "int64")
@@ -368,7 +494,9 @@ def train_model(train: DataFrame, text_col: str = "text", order: int = ORDER, di
     model, files = Model(), _Files(train.sparkSession)
     _vocabulary(texts, model, files)
     for n in range(2, order + 1):
+        release(train.sparkSession)
         _level(texts, model, files, n, order, discount)
+    release(train.sparkSession)
     return model
 
 
@@ -378,20 +506,20 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text_col: str
     names = rows.columns[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, reader = Hasher(), model.reader()
+        hasher, reader = WordHasher(), model.reader()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 for start, end in text_blocks(texts):
                     hashes, sizes = text_hashes(texts[start:end], hasher)
-                    ids = reader.ids(hashes)
+                    ids, lowest = reader.lookup(hashes)
                     row = np.repeat(np.arange(len(sizes)), sizes)
                     begins = np.zeros(len(ids), bool)
                     begins[np.cumsum(sizes) - sizes] = True
-                    lp = reader.entries(ids, begins, len(model.levels) + 1)[1]
+                    lp = reader.entries(ids, lowest, begins, len(model.levels) + 1)[1]
                     sums = lambda x, n=len(sizes), row=row: np.bincount(row, x, n)
-                    columns = [sizes, sums(ids >= 0).astype(np.int64), np.full(len(sizes), model.tokens, np.int64), sums(reader.log_unigram(ids)), sums(lp)]
+                    columns = [sizes, sums(ids >= 0).astype(np.int64), np.full(len(sizes), model.tokens, np.int64), sums(lowest), sums(lp)]
                     yield pa.RecordBatch.from_arrays(
                         [*(c.slice(start, end - start) for c in part.columns[:-1]), *map(pa.array, columns)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
                     )
