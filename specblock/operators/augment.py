@@ -31,7 +31,7 @@ def brightness_jitter(frames: Frames, max_offset: float = 30.0, seed: int = 0, p
         return frames
     offset = uniform(seed, place, -max_offset, max_offset)
     step = F.rint((offset * 8.0).cast("float") / F.col("q")[0]).cast("int")
-    moved = F.transform("coef", lambda c, k: F.when(k == 0, c.cast("int") + F.col("__step")).otherwise(c.cast("int")).cast("smallint"))
+    moved = F.concat(F.array((F.col("coef")[0].cast("int") + F.col("__step")).cast("smallint")), F.slice("coef", 2, 63))
     blocks = frames.blocks.withColumn("__step", step)
     here = (F.col("channel") == "Y") & (F.lit(True) if chosen is None else chosen)
     return frames.with_blocks(blocks.withColumn("coef", F.when(here, moved).otherwise(F.col("coef"))).drop("__step"))

@@ -78,7 +78,8 @@ def bandpass(frames: Frames, low_cutoff: int = 1, high_cutoff: int = 6) -> Frame
 
 
 def _shift_dc(step: Column) -> Column:
-    return F.transform("coef", lambda c, k: F.when(k == 0, c.cast("int") + step.cast("int")).otherwise(c.cast("int")).cast("smallint"))
+    """DC moved by step; the other coefficients are copied as one slice."""
+    return F.concat(F.array((F.col("coef")[0].cast("int") + step.cast("int")).cast("smallint")), F.slice("coef", 2, 63))
 
 
 def adjust_brightness(frames: Frames, offset: float) -> Frames:
