@@ -123,12 +123,12 @@ def fit_profiles(
     """Profiles from rows whose text and language are not null."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    totals = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # One number a language reaches the driver and goes back as a literal: no join, which a hot language would skew.
+    totals = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     # Keep the share of the hash range that leaves sample_per_lang distinct texts of each language.
-    share = (F.lit(float(sample_per_lang)) / F.col("n")).alias("share")
+    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], sample_per_lang / max(1, r["n"])) for r in totals), F.lit(1.0))
     chosen = (
-        rows.join(totals.select("lang", share), "lang")
-        .where((F.col("share") >= 1) | (F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < F.col("share") * float(1 << 40)))
+        rows.where((share >= 1) | (F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * float(1 << 40)))
         .groupBy("lang", "h")
         .agg(F.first("text").alias("text"))
         .select("lang", "text")
