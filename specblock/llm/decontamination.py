@@ -24,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specblock.llm.common import broadcast_if_small
 from specblock.session import cut
 
 WINDOW = 10
 BROADCAST_ROWS = 500_000
 #: Runs of characters between words, before A-Z is lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is not between, as the characters that it holds: Java matches these ranges ten times as fast as a negated set.
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,11 +45,6 @@ def term_of(word: Column) -> Column:
     return F.lower(word)
 
 
-def _checked(df: DataFrame, broadcast_rows: int) -> DataFrame:
-    """df (already cut), to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= broadcast_rows else df
-
-
 def test_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(words, items): the distinct windows and the ids (as text) of the items that hold them."""
     words = F.filter(F.split(ascii_lower(F.col(text_col)), BETWEEN, -1), lambda w: w != "")
@@ -65,7 +62,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def term_frequencies(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(term, n) of those terms (term) that occur in docs."""
-    return tokens(docs, id_col, text_col).select("term").join(_checked(terms, broadcast_rows), "term").groupBy("term").count().withColumnRenamed("count", "n")
+    return tokens(docs, id_col, text_col).select("term").join(broadcast_if_small(terms, broadcast_rows), "term").groupBy("term").count().withColumnRenamed("count", "n")
 
 
 def led_windows(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -87,7 +84,7 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
 
     near holds the words from position `from` to reach words after pos.
     """
-    hits = tokens(docs, id_col, text_col).join(_checked(terms, broadcast_rows), "term")
+    hits = tokens(docs, id_col, text_col).join(broadcast_if_small(terms, broadcast_rows), "term")
     start = F.greatest(F.col("pos") - reach, F.lit(0))
     return hits.select("term", "id", "tag", "pos", start.alias("from"), F.slice("words", start + 1, F.col("pos") - start + 1 + reach).alias("near"))
 
@@ -97,7 +94,7 @@ def phrase_matches(index: DataFrame, led: DataFrame, broadcast_rows: int = BROAD
 
     index must reach as far as the windows are long.
     """
-    met = index.join(_checked(led, broadcast_rows), "term")
+    met = index.join(broadcast_if_small(led, broadcast_rows), "term")
     start = F.col("pos") - F.col("at")
     place_2 = start + F.col("at_2") - F.col("from")
     second = F.col("term_2").isNull() | (term_of(F.get("near", place_2)) == F.col("term_2"))
@@ -112,7 +109,7 @@ def proximity_matches(index: DataFrame, led: DataFrame, slop: int, broadcast_row
 
     index must reach as far as the windows are long, plus slop.
     """
-    met = index.join(_checked(led, broadcast_rows), "term")
+    met = index.join(broadcast_if_small(led, broadcast_rows), "term")
     wanted = F.array_distinct(F.transform("words", term_of))
     span = F.size("words") + slop
     here = F.col("pos") - F.col("from")
