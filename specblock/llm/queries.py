@@ -115,3 +115,35 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = id_bucket("doc_id", 5)
     model = ngram_lm.train_model(docs.where(bucket != 1))
     return ngram_lm.score(docs, model, ["doc_id", (bucket == 1).alias("held_out")])
+
+
+ORACLE_SQL["op1_decontamination"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS g FROM items, unnest(range(1, greatest(1, len(w) - 9) + 1)) u(s) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT len(g) AS n FROM windows),
+runs AS (SELECT r, s, n, list_slice(w, s, s + n - 1) AS g FROM words, lengths, unnest(range(1, len(w) - n + 2)) u(s)),
+hits AS (SELECT r, s, n, item_id FROM runs JOIN windows USING (g)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + n)) u(p) GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+ORACLE_SQL["op4_substring_dedup"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, s, list_slice(w, s, s + 34) AS g FROM words, unnest(range(1, len(w) - 33)) u(s)),
+repeated AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p FROM windows SEMI JOIN repeated USING (g), unnest(range(s, s + 35)) u(p)),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)
+"""
