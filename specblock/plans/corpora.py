@@ -8,11 +8,12 @@ vectors, 16 luma blocks (4 x 4) and 4 of each chroma (2 x 2).  PIX: one
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specblock import kernels
-from specblock.frames import CHANNELS, Frames, floats
+from specblock.frames import Frames, floats
 
 QUALITY = 85
 LUMA = kernels.scaled_table(kernels.LUMINANCE, QUALITY)
@@ -130,8 +131,6 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_list(values, kind: str = "FLOAT") -> str:
     """A DuckDB list literal with the very numbers of the Spark literal."""
-    import numpy as np
-
     return "[" + ",".join(repr(float(np.float32(v))) for v in values) + f"]::{kind}[]"
 
 
@@ -165,5 +164,3 @@ SQL = {
   FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS n, * FROM lineitem)
   WHERE n < (SELECT count(*) // 4096 * 4096 FROM lineitem))""",
 }
-
-__all__ = ["CHANNELS", "SQL", "c420", "g5", "g8", "gall", "pixels", "sql_list"]
