@@ -79,7 +79,7 @@ def parser() -> argparse.ArgumentParser:
     uses = commands.add_parser("apps").add_subparsers(dest="part", required=True)
     command(uses, "dedup", "groups of near-duplicates", ("--max-distance", {"type": int, "default": 5}), as_json)
     command(uses, "forensics", "signs of double compression", ("--threshold", {"type": float, "default": 12.0}), as_json)
-    command(uses, "thumbnail", "DC thumbnails as Parquet pixels", ("--output", {"required": True}), ("--size", {"type": int, "default": None}))
+    command(uses, "thumbnail", "DC thumbnails as PNG files", ("--output", {"required": True}), ("--size", {"type": int, "default": None}))
     return top
 
 
@@ -155,7 +155,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         _tell(apps.detect_double_compression(frames, args.threshold), args.json)
     elif part == "thumbnail":
         thumbnail = apps.dc_thumbnail(frames)
-        (resize.sized_thumbnail(thumbnail, frames, args.size) if args.size else thumbnail).write.mode("overwrite").parquet(args.output)
+        sized = resize.sized_thumbnail(thumbnail, frames, args.size) if args.size else thumbnail
+        images.write_png(sized, args.output).write.format("noop").mode("overwrite").save()
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -1 +1 @@
-
+"""Blocks and pixels, there and back."""

@@ -84,10 +84,11 @@ def idct2(rows: DataFrame, column: str = "dct", out: str = "block") -> DataFrame
     return _product(rows, column, out, inverse=True)
 
 
-def pixel_blocks(pixels: DataFrame, columns: list[str], size: DataFrame | None = None) -> DataFrame:
+def pixel_blocks(pixels: DataFrame, columns: list[str], size: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(image_id, channel, brow, bcol, bh, bw, block) of level-shifted values, padded with zero after the shift.
 
     pixels (image_id, row, col, columns): each column is a channel of its own.
+    With strict, a size that is no multiple of 8 raises instead.
     """
     size = size or pixels.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
     brow, bcol = pixel_to_block(F.col("row"), F.col("col"))
@@ -99,6 +100,9 @@ def pixel_blocks(pixels: DataFrame, columns: list[str], size: DataFrame | None =
     of = lambda c: F.transform(places, lambda k: F.coalesce(F.try_element_at("at", k)[c].cast("double") - 128, F.lit(0.0)))
     channels = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), of(c).alias("block")) for c in columns)))
     whole = groups.select("image_id", "brow", "bcol", channels.alias("c")).select("image_id", "c.channel", "brow", "bcol", "c.block")
+    if strict:
+        whole_blocks = (F.col("height") % 8 == 0) & (F.col("width") % 8 == 0)
+        size = size.withColumn("height", F.when(whole_blocks, F.col("height")).otherwise(F.raise_error("BlockBoundaryError: a size is no multiple of 8").cast("int")))
     grid = size.select("image_id", F.ceil(F.col("height") / 8).cast("int").alias("bh"), F.ceil(F.col("width") / 8).cast("int").alias("bw"))
     return whole.join(grid, "image_id").select("image_id", "channel", "brow", "bcol", "bh", "bw", "block")
 

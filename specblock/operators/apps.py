@@ -50,6 +50,16 @@ def find_duplicates(frames: Frames, max_distance: int = 5) -> DataFrame:
     return named.join(groups, "label").select("path", "group_id")
 
 
+def hash_folder(spark, root: str, hash_size: int = 8) -> DataFrame:
+    """(path, phash_hex, phash) of the images of a folder and those below it; unreadable files are left out."""
+    from specblock.sources.images import convert_to_dct, read_jpeg
+
+    jpeg, other = read_jpeg(spark, root, permissive=True), convert_to_dct(spark, root)
+    rest = other.images.join(jpeg.images.select("image_id"), "image_id", "left_anti")
+    both = Frames(jpeg.images.unionByName(rest), jpeg.blocks.unionByName(other.blocks.join(rest.select("image_id"), "image_id", "left_semi")))
+    return both.images.select("image_id", "path").join(perceptual_hash(both, hash_size), "image_id").select("path", "phash_hex", "phash")
+
+
 def duplicate_groups(frames: Frames, max_distance: int = 5) -> DataFrame:
     """(group_id, paths): each group as one row of sorted paths."""
     return find_duplicates(frames, max_distance).groupBy("group_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))

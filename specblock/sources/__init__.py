@@ -1 +1 @@
-
+"""Readers, writers and the JPEG coefficient codec."""

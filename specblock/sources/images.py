@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,14 +229,17 @@ def write_jpeg(frames: Frames, folder: str, quality: int | None = None) -> DataF
     """
     from specblock.operators.pointwise import requantize
 
-    encoded = encoded_jpeg(frames if quality is None else requantize(frames, quality)).select("image_id", "content")
+    return _write_files(encoded_jpeg(frames if quality is None else requantize(frames, quality)), folder, "jpg")
+
+
+def _write_files(encoded: DataFrame, folder: str, ending: str) -> DataFrame:
     os.makedirs(folder, exist_ok=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes = [], []
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = os.path.join(folder, f"{number}.jpg")
+                name = os.path.join(folder, f"{number}.{ending}")
                 part = f"{name}.{os.getpid()}.part"
                 with open(part, "wb") as f:
                     f.write(content)
@@ -243,7 +248,32 @@ def write_jpeg(frames: Frames, folder: str, quality: int | None = None) -> DataF
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
-    return encoded.mapInArrow(work, "path string, bytes long")
+    return encoded.select("image_id", "content").mapInArrow(work, "path string, bytes long")
+
+
+def png_bytes(rgb: np.ndarray) -> bytes:
+    """A PNG file of an array (height, width, 3) of levels."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    height, width, _ = rgb.shape
+    lines = np.concatenate((np.zeros((height, 1), np.uint8), rgb.astype(np.uint8).reshape(height, -1)), axis=1)
+    header = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def encoded_png(pixels: DataFrame) -> DataFrame:
+    """(image_id, content): each image of pixels (image_id, row, col, r, g, b) as a PNG file."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rgb = np.zeros((rows["row"].max() + 1, rows["col"].max() + 1, 3), np.uint8)
+        rgb[rows["row"], rows["col"]] = rows[["r", "g", "b"]].to_numpy()
+        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "content": [png_bytes(rgb)]})
+
+    return pixels.groupBy("image_id").applyInPandas(one, "image_id long, content binary")
+
+
+def write_png(pixels: DataFrame, folder: str) -> DataFrame:
+    """Writes <image_id>.png files to a folder that all executors mount; (path, bytes) of each."""
+    return _write_files(encoded_png(pixels), folder, "png")
 
 
 def write_store(frames: Frames, folder: str) -> None:

@@ -270,3 +270,30 @@ def test_resize_keeps_constants_and_means(spark):
     big = resize.resize(spark.createDataFrame(rows, "image_id long, row int, col int, r int, g int, b int"), 8, 8, 16, 16, "lanczos").collect()
     assert len(big) == 256 and all(p.r == 90 for p in big)
     assert abs(np.mean([p.g for p in big]) - 35) < 1
+
+
+def test_strict_blocks_and_profiling(spark):
+    from specblock import profiling
+
+    rows = [(1, y, x, 7) for y in range(8) for x in range(9)]
+    pixels = spark.createDataFrame(rows, "image_id long, row int, col int, y int")
+    with pytest.raises(Exception, match="BlockBoundaryError"):
+        transform.pixel_blocks(pixels, ["y"], strict=True).collect()
+    assert transform.pixel_blocks(pixels.where("col < 8"), ["y"], strict=True).count() == 1
+    assert profiling.time_plan("pixels", lambda: pixels, repeats=1, rows=72).rows_per_second > 0
+    assert profiling.configure_logging("INFO").name == "specblock"
+
+
+def test_models(spark, color):
+    from specblock.operators import learn
+
+    bright = color.with_blocks(color.blocks.withColumn("coef", F.when(F.col("image_id") % 2 == 1, F.transform("coef", lambda c: (c * 3).cast("smallint"))).otherwise(F.col("coef"))))
+    rows = learn.spectrum_features(bright).cache()
+    assert learn.accuracy(learn.fit_linear(rows), rows) > 0.95
+
+    def make():
+        return lambda x: x.reshape(len(x), -1).mean(axis=1, keepdims=True)
+
+    told = learn.predictions(color, make, "dc_only").collect()
+    tensors = {r.image_id: np.mean(r.features) for r in features.tensors(color, "dc_only").collect()}
+    assert len(told) == len(tensors) and all(r.prediction[0] == pytest.approx(tensors[r.image_id], abs=1e-3) for r in told)

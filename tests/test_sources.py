@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specblock import cli, kernels
 from specblock.errors import BlockError, CodecError, InvalidImageError, UnsupportedFormatError
-from specblock.operators import pointwise
+from specblock.operators import apps, pointwise
 from specblock.sources import images, jpeg_codec
 from specblock.streaming import ingest
 
@@ -201,7 +201,7 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["dataset", "prepare", cat, "--output", str(tmp_path / "store")], spark) == 0
     assert cli.main(["dataset", "bench", cat], spark) == 0
     assert cli.main(["apps", "thumbnail", cat, "--output", str(tmp_path / "thumb"), "--size", "4"], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "thumb")).count() > 0
+    assert sorted(jvm_read(spark, str(p)).shape for p in (tmp_path / "thumb").glob("*.png")) == [(3, 4, 3)] * 2
     assert cli.main(["sharpen", cat, "-o", out, "--amount", "-1"], spark) == 1
     assert cli.main(["downscale", cat, "-o", out, "--factor", "3"], spark) == 1
     with pytest.raises(SystemExit):
@@ -209,6 +209,16 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert issubclass(CodecError, BlockError)
 
 
+def test_png_and_folder_hashes(spark, folder, tmp_path):
+    rgb = smooth(9, 14, 3)
+    rows = [(5, y, x, *map(int, rgb[y, x])) for y in range(9) for x in range(14)]
+    pixels = spark.createDataFrame(rows, "image_id long, row int, col int, r int, g int, b int")
+    assert images.write_png(pixels, str(tmp_path / "png")).count() == 1
+    assert (jvm_read(spark, str(tmp_path / "png/5.png")) == rgb).all()
+    hashes = {os.path.basename(r.path): r.phash for r in apps.hash_folder(spark, folder).collect()}
+    assert set(hashes) == {"a.jpg", "b.jpg", "c.jpg", "d.png", "e.bmp"} and hashes["a.jpg"] == hashes["b.jpg"] != hashes["c.jpg"]
+
+
 def test_stream_of_files(spark, folder, tmp_path):
     hashed = ingest.hashed_stream(ingest.file_stream(spark, f"{folder}/*"))
     for name, frame in (("first", ingest.first_of_each(hashed)), ("counts", ingest.windowed_counts(hashed))):
