@@ -8,7 +8,9 @@ the passes as 8-bit resamplers do.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,36 +38,44 @@ def axis_weights(size: int, new: int, kind: str) -> list[tuple[int, int, float]]
     return out
 
 
-def resize(pixels: DataFrame, height: int, width: int, new_height: int, new_width: int, kind: str) -> DataFrame:
-    """pixels (image_id, row, col, r, g, b) of one size at another size."""
-    spark = pixels.sparkSession
-    for axis, size, new in (("col", width, new_width), ("row", height, new_height)):
-        table = spark.createDataFrame(axis_weights(size, new, kind), "to int, source int, w double")
+def _taps(sizes: DataFrame, kind: str) -> DataFrame:
+    """(size, new, source, to, w): the weights of every distinct pair of sizes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, new in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                to, source, w = zip(*axis_weights(size, new, kind), strict=True)
+                n = len(to)
+                columns = [pa.array([x] * n, pa.int32()) for x in (size, new)] + [pa.array(source, pa.int32()), pa.array(to, pa.int32()), pa.array(w, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["size", "new", "source", "to", "w"])
+
+    return sizes.distinct().mapInArrow(work, "size int, new int, source int, to int, w double")
+
+
+def resize(pixels: DataFrame, sizes: DataFrame, kind: str) -> DataFrame:
+    """pixels (image_id, row, col, r, g, b) resampled.
+
+    sizes (image_id, height, width, new_height, new_width) has a row an image,
+    each with a size of its own.
+    """
+    for axis, size, new in (("col", "width", "new_width"), ("row", "height", "new_height")):
+        own = sizes.select("image_id", F.col(size).cast("int").alias("size"), F.col(new).cast("int").alias("new"))
+        taps = _taps(own.select("size", "new"), kind)
         other = "row" if axis == "col" else "col"
-        joined = pixels.join(F.broadcast(table), F.col(axis) == F.col("source"))  # as many rows as a filter has taps on one axis
+        joined = pixels.join(own, "image_id").withColumnRenamed(axis, "source").join(taps, ["size", "new", "source"])
         level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.sum(F.col(c) * F.col("w")) + 0.5))).cast("int")
         pixels = joined.groupBy("image_id", other, F.col("to").alias(axis)).agg(*(level(c).alias(c) for c in "rgb"))
     return pixels.select("image_id", "row", "col", "r", "g", "b")
 
 
-def _by_size(frames: Frames, pixels: DataFrame, work) -> DataFrame:
-    """work(pixels, height, width) for the images of each size, put together."""
-    sizes = [(r[0], r[1]) for r in frames.images.select("height", "width").distinct().collect()]
-    out = None
-    for height, width in sorted(sizes):
-        own = frames.images.where((F.col("height") == height) & (F.col("width") == width)).select("image_id")
-        part = work(pixels.join(own, "image_id", "left_semi"), height, width)
-        out = part if out is None else out.unionByName(part)
-    return pixels if out is None else out
-
-
 def upscale(frames: Frames, factor: int = 2, quality: int = 85) -> Frames:
     """Decodes, enlarges by a power of two (Lanczos) and encodes again, chroma at full size."""
     if factor < 1 or factor & (factor - 1):
         raise ValueError("factor must be a power of two")
     if factor == 1:
         return frames
-    big = _by_size(frames, to_pixels(frames), lambda p, h, w: resize(p, h, w, h * factor, w * factor, "lanczos"))
+    sizes = frames.images.select("image_id", "height", "width", (F.col("height") * factor).alias("new_height"), (F.col("width") * factor).alias("new_width"))
+    big = resize(to_pixels(frames), sizes, "lanczos")
     color = frames.images.where("num_components > 1").select("image_id")
     gray = frames.images.where("num_components = 1").select("image_id")
     parts = [from_array(big.join(color, "image_id", "left_semi"), quality), from_array(big.join(gray, "image_id", "left_semi").select("image_id", "row", "col", F.col("r").alias("y")), quality)]
@@ -75,10 +85,7 @@ def upscale(frames: Frames, factor: int = 2, quality: int = 85) -> Frames:
 
 def sized_thumbnail(thumbnail: DataFrame, frames: Frames, size: int) -> DataFrame:
     """A DC thumbnail with its longer side at size (bilinear)."""
-
-    def work(pixels: DataFrame, height: int, width: int) -> DataFrame:
-        h, w = -(-height // 8), -(-width // 8)
-        scale = size / max(h, w)
-        return resize(pixels, h, w, max(1, round(h * scale)), max(1, round(w * scale)), "bilinear")
-
-    return _by_size(frames, thumbnail, work)
+    height, width = F.ceil(F.col("height") / 8), F.ceil(F.col("width") / 8)
+    grid = frames.images.select("image_id", height.alias("height"), width.alias("width"))
+    scaled = lambda n: F.greatest(F.lit(1), F.rint(F.col(n) * size / F.greatest("height", "width"))).cast("int")
+    return resize(thumbnail, grid.withColumns({"new_height": scaled("height"), "new_width": scaled("width")}), "bilinear")

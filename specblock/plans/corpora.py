@@ -9,11 +9,12 @@ vectors, 16 luma blocks (4 x 4) and 4 of each chroma (2 x 2).  PIX: one
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specblock import kernels
 from specblock.frames import Frames, floats
+from specblock.session import cut
 
 QUALITY = 85
 LUMA = kernels.scaled_table(kernels.LUMINANCE, QUALITY)
@@ -113,9 +114,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, row, col, r, g, b): 64 x 64 pixels to an image."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*order, "l_quantity", "l_discount", "l_tax")
-    # Numbered by a distributed sort: the position of a row is its partition's offset plus its place.
-    placed = items.repartitionByRange(*order).sortWithinPartitions(*order).rdd.zipWithIndex().map(lambda x: (x[1], x[0].l_quantity, x[0].l_discount, x[0].l_tax))
-    numbered = spark.createDataFrame(placed, "n long, quantity double, discount double, tax double")
+    # Numbered by a distributed sort: a row's number is its partition's offset and its place within.
+    placed = cut(items.repartitionByRange(*order).sortWithinPartitions(*order).select("l_quantity", "l_discount", "l_tax", F.monotonically_increasing_id().alias("id")))
+    placed = placed.select(F.shiftright("id", 33).alias("part"), F.expr("id & 8589934591").alias("place"), *(F.col(f"l_{c}").alias(c) for c in ("quantity", "discount", "tax")))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
+    numbered = placed.join(offsets, "part").withColumn("n", F.col("offset") + F.col("place"))
     whole = items.count() // 4096
     n = F.col("n")
     level = lambda c, top: F.floor(F.col(c) * (255.0 / top)).cast("int")

@@ -267,7 +267,11 @@ def test_spec_parser(name, numbers):
 
 def test_resize_keeps_constants_and_means(spark):
     rows = [(1, y, x, 90, 10 * x, 10 * y) for y in range(8) for x in range(8)]
-    big = resize.resize(spark.createDataFrame(rows, "image_id long, row int, col int, r int, g int, b int"), 8, 8, 16, 16, "lanczos").collect()
+    rows += [(2, y, x, 90, 1, 1) for y in range(3) for x in range(5)]
+    sizes = spark.createDataFrame([(1, 8, 8, 16, 16), (2, 3, 5, 2, 9)], "image_id long, height int, width int, new_height int, new_width int")
+    done = resize.resize(spark.createDataFrame(rows, "image_id long, row int, col int, r int, g int, b int"), sizes, "lanczos").collect()
+    assert {(p.row, p.col) for p in done if p.image_id == 2} == {(y, x) for y in range(2) for x in range(9)}
+    big = [p for p in done if p.image_id == 1]
     assert len(big) == 256 and all(p.r == 90 for p in big)
     assert abs(np.mean([p.g for p in big]) - 35) < 1
 
