@@ -4,7 +4,9 @@ A line (trimmed of spaces) is boilerplate if it stands on `min_sites` or more
 distinct sites; every one of its occurrences is removed.  A HyperLogLog sketch
 of sites for each line hash merges by aggregation; only lines whose estimate
 lies within three standard errors (and one site) of the threshold are counted
-exactly.  Lines travel as hashes with coordinates, never as text.
+exactly.  Lines travel as hashes with coordinates, never as text; while the
+lines in question are at most BROADCAST_ROWS, they go to the occurrences, and
+no occurrence is shuffled by its line.
 
 Defined results: a null text has no lines and stays null; blank lines are
 never removed; with `spare_whole`, a text that would lose all its lines keeps
@@ -18,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specblock.llm.common import broadcast_if_small
 from specblock.session import cut
 
 MIN_SITES = 8
 #: Relative standard error of the sketches.
 ERROR = 0.05
+BROADCAST_ROWS = 500_000
 
 
 def lines_of(text: str) -> Column:
@@ -41,8 +45,8 @@ def boilerplate(occ: DataFrame, min_sites: int, error: float = ERROR) -> DataFra
     margin = 1 + 3 * error * min_sites
     spread = occ.groupBy("h", "h2").agg(F.approx_count_distinct("site", error).alias("est"))
     spread = cut(spread.where(F.col("est") >= min_sites - margin))
-    near = spread.where(F.col("est") <= min_sites + margin).select("h", "h2")
-    exact = occ.join(near, ["h", "h2"], "left_semi").where("site is not null").groupBy("h", "h2", "site").agg(F.lit(1).alias("one"))
+    near = cut(spread.where(F.col("est") <= min_sites + margin).select("h", "h2"))
+    exact = occ.join(broadcast_if_small(near, BROADCAST_ROWS), ["h", "h2"], "left_semi").where("site is not null").groupBy("h", "h2", "site").agg(F.lit(1).alias("one"))
     exact = exact.groupBy("h", "h2").agg(F.sum("one").alias("n")).where(F.col("n") >= min_sites)
     return spread.where(F.col("est") > min_sites + margin).select("h", "h2").union(exact.select("h", "h2"))
 
@@ -55,7 +59,7 @@ def dedup_lines(
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.hash(text_col).alias("tag"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
     occ = occurrences(rows)
     drop = cut(boilerplate(occ, min_sites))
-    gone = occ.join(drop, ["h", "h2"], "left_semi").groupBy("id", "tag").agg(F.collect_set("pos").alias("gone"))
+    gone = occ.join(broadcast_if_small(drop, BROADCAST_ROWS), ["h", "h2"], "left_semi").groupBy("id", "tag").agg(F.collect_set("pos").alias("gone"))
     gone = gone.withColumnsRenamed({"id": "__id", "tag": "__tag"}).hint("shuffle_hash")
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]) & (rows["tag"] == gone["__tag"]), "left")
     lines = lines_of("text")
