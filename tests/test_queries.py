@@ -7,6 +7,12 @@ from specblock.plans import registry
 from tests.oracle import connect, rows_of, sql_rows
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """Large enough that every query has rows: pairs of pixel images need two of them."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
