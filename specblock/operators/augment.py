@@ -47,6 +47,23 @@ def contrast_jitter(frames: Frames, max_factor: float = 0.3, seed: int = 0, plac
     return frames.with_blocks(blocks.withColumn("coef", coef).drop("__f"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def block_normals(seed: int, place: int, ids: np.ndarray, brow: np.ndarray, bcol: np.ndarray) -> np.ndarray:
+    """64 standard normal numbers a block, a function of its keys alone (counter-based, Box-Muller)."""
+    own = np.full(len(ids), (seed * 1_000_003 + place) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for part in (ids, brow, bcol):
+        own = _mixed(own + np.uint64(0x9E3779B97F4A7C15)) ^ part.astype(np.int64).view(np.uint64)
+    counters = _mixed(own)[:, None] + np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    uniform = (_mixed(_mixed(counters)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    radius, angle = np.sqrt(-2 * np.log(1 - uniform[:, :32])), 2 * np.pi * uniform[:, 32:]
+    return np.concatenate((radius * np.cos(angle), radius * np.sin(angle)), axis=1)
+
+
 def gaussian_noise(frames: Frames, sigma: float = 3.0, seed: int = 0, place: int = 0, chosen: Column | None = None) -> Frames:
     """Normal noise on luma but DC; a block's own noise depends on its image and place only."""
     if sigma == 0:
@@ -61,9 +78,7 @@ def gaussian_noise(frames: Frames, sigma: float = 3.0, seed: int = 0, place: int
             coef = batch.column(at["coef"]).flatten().to_numpy().reshape(-1, 64).astype(np.float32)
             ids, brow, bcol = (batch.column(at[c]).to_numpy() for c in ("image_id", "brow", "bcol"))
             luma = np.flatnonzero((np.array(batch.column(at["channel"]).to_pylist()) == "Y") & batch.column(len(names)).to_numpy(zero_copy_only=False))
-            for i in luma:
-                own = np.random.default_rng([seed & 0xFFFFFFFF, place, int(ids[i]) & 0xFFFFFFFFFFFFFFFF, int(brow[i]), int(bcol[i])])
-                coef[i, 1:] += own.normal(0, sigma, 64).astype(np.float32)[1:]
+            coef[luma, 1:] += (sigma * block_normals(seed, place, ids[luma], brow[luma], bcol[luma])[:, 1:]).astype(np.float32)
             columns = [coefficient_column(coef) if c == "coef" else batch.column(at[c]) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -301,3 +301,12 @@ def test_models(spark, color):
     told = learn.predictions(color, make, "dc_only").collect()
     tensors = {r.image_id: np.mean(r.features) for r in features.tensors(color, "dc_only").collect()}
     assert len(told) == len(tensors) and all(r.prediction[0] == pytest.approx(tensors[r.image_id], abs=1e-3) for r in told)
+
+
+def test_noise_is_normal_and_keyed():
+    n = np.arange(2000)
+    x = augment.block_normals(5, 0, n, n % 7, n % 11)
+    assert abs(x.mean()) < 0.01 and abs(x.std() - 1) < 0.01 and abs((x**3).mean()) < 0.05 and abs((x**4).mean() - 3) < 0.1
+    assert abs(np.corrcoef(x[:, 3], x[:, 35])[0, 1]) < 0.1 and len(np.unique(x)) == x.size
+    assert (augment.block_normals(5, 0, n[::-1], n[::-1] % 7, n[::-1] % 11)[::-1] == x).all()
+    assert (augment.block_normals(6, 0, n, n % 7, n % 11) != x).mean() > 0.99
