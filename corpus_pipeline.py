@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specblock.llm import decontamination, language_id, line_dedup, mixing, simhash
+from specblock.llm import decontamination, language_id, line_dedup, mixing, near_copies
 from specblock.llm.common import read_table
 from specblock.session import stored
 
@@ -32,8 +32,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs).select(COLUMNS)
+    """One document of each group of near-duplicates (five words, Jaccard 0.8 or more) stays."""
+    return near_copies.one_of_each(docs).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: SQL cannot express rank-order profiles or SimHash; tests/llm compares run() with a brute-force version.
+#: SQL cannot express rank-order profiles or MinHash keys; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from specblock.llm import chat_formatting, elias_fano, language_id, nearest, ngram_lm, queries, simhash, token_counts, word_arrays
+from specblock.llm import chat_formatting, elias_fano, language_id, near_copies, nearest, ngram_lm, queries, simhash, token_counts, word_arrays
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -305,3 +305,42 @@ def test_pipeline_runs(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(0 < r.taken <= 2 * r.size for r in rows)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def grams_of(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def slow_near_dedup(rows):
+    """The ids that stay of (id, text), by the Jaccard similarity of all pairs."""
+    rows = sorted(rows)
+    sets, group = [grams_of(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return {rows[g][0] for g in group}
+
+
+def test_near_copies_are_those_of_exact_jaccard(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for base in range(40):
+        words = [word() for _ in range(rng.choice((30, 60, 200)))]
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+        rows.append(" ".join(words[: int(len(words) * 0.85)]))
+    rows += [None, "", " \n", "a b", "A  b", "a b c", rows[3], rows[3].upper()]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.one_of_each(table).collect()} == slow_near_dedup(rows)
+    twice = table.union(table).union(spark.createDataFrame([(None, rows[0][1]), (None, "only here")], table.schema))
+    kept = [r.doc_id for r in near_copies.one_of_each(twice).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == slow_near_dedup(rows) | {None}
+    assert near_copies.one_of_each(table.where("false")).count() == 0
