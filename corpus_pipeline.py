@@ -27,7 +27,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that stand on many sites; every document stays."""
-    kept = line_dedup.dedup_lines(docs, keep=["doc_id", "lang", "source"], spare_whole=True)
+    kept = line_dedup.dedup_lines(docs, keep=["doc_id", "lang", "source"], spare_copies=True)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

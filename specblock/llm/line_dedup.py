@@ -10,7 +10,8 @@ no occurrence is shuffled by its line.
 
 Defined results: a null text has no lines and stays null; blank lines are
 never removed; with `spare_whole`, a text that would lose all its lines keeps
-them (it is a copy, not boilerplate, and left to document dedup); rows whose site is null spread no line, yet lose boilerplate;
+them; with `spare_copies` it does so only if the whole text stands in rows of
+several ids (it is a copy, not boilerplate, and left to document dedup); rows whose site is null spread no line, yet lose boilerplate;
 repeated rows add nothing to the spread; null ids are kept; an empty table
 gives none; other columns are ignored.
 """
@@ -52,7 +53,7 @@ def boilerplate(occ: DataFrame, min_sites: int, error: float = ERROR) -> DataFra
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, keep: list[str] | None = None, spare_whole: bool = False, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+    docs: DataFrame, min_sites: int = MIN_SITES, keep: list[str] | None = None, spare_whole: bool = False, spare_copies: bool = False, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
 ) -> DataFrame:
     """The columns keep of every row (the id alone by default), kept_text, n_lines and n_removed."""
     keep = [id_col] if keep is None else keep
@@ -61,12 +62,20 @@ def dedup_lines(
     drop = cut(boilerplate(occ, min_sites))
     gone = occ.join(broadcast_if_small(drop, BROADCAST_ROWS), ["h", "h2"], "left_semi").groupBy("id", "tag").agg(F.collect_set("pos").alias("gone"))
     gone = gone.withColumnsRenamed({"id": "__id", "tag": "__tag"}).hint("shuffle_hash")
+    if spare_copies:
+        # Whole texts travel as hashes; rows that repeat an id add nothing.
+        whole = rows.where("text is not null").groupBy(F.xxhash64("text").alias("__whole"), "id").agg(F.lit(1).alias("one")).groupBy("__whole").agg(F.sum("one").alias("__ids"))
+        copies = cut(whole.where("__ids > 1").select("__whole", F.lit(True).alias("copied")))
+        rows = rows.withColumn("__whole", F.xxhash64("text")).join(broadcast_if_small(copies, BROADCAST_ROWS), "__whole", "left")
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]) & (rows["tag"] == gone["__tag"]), "left")
     lines = lines_of("text")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
     untouched = F.col("gone").isNull()
+    lost = F.size("gone") == F.size(F.filter(lines, lambda line: F.trim(line) != ""))
     if spare_whole:
-        untouched = untouched | (F.size("gone") == F.size(F.filter(lines, lambda line: F.trim(line) != "")))
+        untouched = untouched | lost
+    if spare_copies:
+        untouched = untouched | (F.col("copied").isNotNull() & lost)
     return joined.select(
         "kept.*",
         F.when(untouched, F.col("text")).otherwise(left).alias("kept_text"),

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from specblock.llm import decontamination, line_dedup, mixing, queries, substring_dedup
 from tests.oracle import connect, rows_of, sql_rows
 
@@ -184,6 +185,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table.where("false")).count() == 0
 
 
+def test_only_copies_keep_their_boilerplate(spark):
+    hot = [(i, f"menu\nfooter\nown {i}", f"s{i}") for i in range(8)]
+    docs = hot + [(100, "menu\nfooter", "s1"), (101, "footer\nmenu", "s1"), (101, "footer\nmenu", "s1"), (None, "menu", "s2")] + [(200 + i, "whole\ncopy", f"s{i}") for i in range(8)]
+    table = spark.createDataFrame([(*d, "en", 0) for d in docs], "doc_id long, text string, source string, lang string, n_chars long")
+    for spare in (line_dedup.dedup_lines(table, spare_copies=True).select("doc_id", "kept_text"), corpus_pipeline.drop_boilerplate(spark, table, "").select("doc_id", "text")):
+        kept = sorted(map(tuple, spare.collect()), key=str)
+        assert kept == sorted([(i, f"own {i}") for i in range(8)] + [(100, ""), (101, ""), (101, ""), (None, "")] + [(200 + i, "whole\ncopy") for i in range(8)], key=str)
+
+
 @pytest.mark.parametrize("sites", [3, 40])
 def test_near_threshold_lines_are_exact(sites, spark):
     rows = [(n * 1000 + i, f"line {n}", f"site {i}") for n in range(sites - 2, sites + 3) for i in range(n)]
