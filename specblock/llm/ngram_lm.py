@@ -1,9 +1,10 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Training counts every n-gram of the training texts in Spark (tasks combine
-before they shuffle).  N-grams of two words and more stay if they occur twice;
-an n-gram can do so only if both its shorter parts do, so each level is
-counted with the trie below it.  Absolute discounting interpolates levels:
+before they shuffle).  N-grams of two words and more stay if they occur
+`kept_from` times; op5_lm_scoring keeps all, from one occurrence.  An n-gram
+can stay only if both its shorter parts do, so each level is counted with the
+trie below it.  Absolute discounting interpolates levels:
 
     P(w | c) = max(n(cw) - D, 0) / n(c) + b(c) P(w | shorter c)
 
@@ -399,7 +400,7 @@ def _build_part(key: np.ndarray, context: np.ndarray, word: np.ndarray, probs: n
     return b"".join(out), meta
 
 
-def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, discount: float) -> None:
+def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, discount: float, kept_from: int) -> None:
     """Counts, smooths and ships level n with the help of the levels below."""
     base = model.types + 1
 
@@ -416,7 +417,7 @@ def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, di
             at = np.flatnonzero(since >= n - 1)
             context, low = places[-1][at - 1], places[-1][at]
             # Both shorter parts must stay for an n-gram to stay.
-            ok = (lower[context] >= KEPT_FROM) & (lower[low] >= KEPT_FROM) if n == 2 else (context >= 0) & (low >= 0)
+            ok = (lower[context] >= kept_from) & (lower[low] >= kept_from) if n == 2 else (context >= 0) & (low >= 0)
             # At the second level the lower entry is the word itself, and need not travel.
             yield _combined(context[ok] * base + ids[at[ok]], *([low[ok]] if n > 2 else []))
 
@@ -427,7 +428,7 @@ def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, di
             yield from _slices(block, names)
 
     rows = train.mapInArrow(count, ", ".join(f"{c} long" for c in names))
-    counted = stored(_summed(rows, names, KEPT_FROM))
+    counted = stored(_summed(rows, names, kept_from))
 
     def left_mass(batches):
         totals = model.file("count" if n == 2 else f"count{n - 1}")
@@ -488,14 +489,14 @@ def _level(train: DataFrame, model: Model, files: _Files, n: int, order: int, di
         files.ship(model, f"prob{n}", "uint16")
 
 
-def train_model(train: DataFrame, text_col: str = "text", order: int = ORDER, discount: float = DISCOUNT) -> Model:
+def train_model(train: DataFrame, text_col: str = "text", order: int = ORDER, discount: float = DISCOUNT, kept_from: int = KEPT_FROM) -> Model:
     """A model of the texts of train, shipped to the executors of its session."""
     texts = train.select(F.col(text_col).alias("text"))
     model, files = Model(), _Files(train.sparkSession)
     _vocabulary(texts, model, files)
     for n in range(2, order + 1):
         release(train.sparkSession)
-        _level(texts, model, files, n, order, discount)
+        _level(texts, model, files, n, order, discount, kept_from)
     release(train.sparkSession)
     return model
 

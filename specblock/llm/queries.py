@@ -113,7 +113,7 @@ FROM turns t JOIN maximal m ON t.conv_id = m.conv_id GROUP BY 1, 2
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     bucket = id_bucket("doc_id", 5)
-    model = ngram_lm.train_model(docs.where(bucket != 1))
+    model = ngram_lm.train_model(docs.where(bucket != 1), kept_from=1)
     return ngram_lm.score(docs, model, ["doc_id", (bucket == 1).alias("held_out")])
 
 

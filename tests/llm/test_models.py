@@ -154,6 +154,17 @@ def test_lm_scores(order, spark):
         assert r.base_score == pytest.approx(sum(math.log10((unigrams.get((t,), 0) + 0.5) / (total + 0.5 * (len(unigrams) + 1))) for t in tokens))
 
 
+def test_lm_query_keeps_what_one_document_teaches(spark, tmp_path):
+    text = " ".join(f"rare{i}" for i in range(60))
+    ids = range(200)
+    bucket = {r.i: r.b for r in spark.range(200).select(F.col("id").alias("i"), queries.id_bucket("id", 5).alias("b")).collect()}
+    taught, held = next(i for i in ids if bucket[i] != 1), next(i for i in ids if bucket[i] == 1)
+    rows = [(taught, text), (held, text), *((i, f"other{i} words{i}") for i in ids if i not in (taught, held) and bucket[i] != 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = next(r for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect() if r.doc_id == held)
+    assert row.held_out and row.n_known == row.n_tokens and row.score - row.base_score > 1.5
+
+
 def test_lm_probabilities_sum_to_one():
     counts, _, probabilities = lm_model(["a b a b c", "a b c a", "b b a"], 3, 0.75)
     vocabulary = [g[0] for g in counts] + [b"unknown"]
