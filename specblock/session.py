@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -77,7 +76,10 @@ def discard(df: DataFrame) -> None:
     store.delete(there, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver see what is no longer referenced, so that its shuffle files and checkpoints go."""
-    gc.collect()
-    spark._jvm.System.gc()
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; deleted when the session ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    there, store = _on_its_store(spark, path)
+    store.mkdirs(there)
+    store.deleteOnExit(there)
+    return path
