@@ -17,7 +17,9 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray | int]:
     n = len(values)
     top = int(values[-1]) if n else 0
     low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-    bits = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
+    bits = np.empty((n, low_bits), np.uint8)
+    for b in range(low_bits):
+        bits[:, b] = (values >> b) & 1
     low = np.packbits(bits.reshape(-1), bitorder="little")
     high = values >> low_bits
     length = n + (top >> low_bits) + 1

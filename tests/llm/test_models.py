@@ -119,7 +119,7 @@ def test_one_word_longer_than_a_block(monkeypatch):
 def lm_model(train, order, discount):
     tokens = [[*(t or "").encode().lower().split(), b" "] for t in train]
     counts = {n: Counter(tuple(t[i : i + n]) for t in tokens for i in range(len(t) - n + 1)) for n in range(1, order + 1)}
-    kept = {n: {g: c for g, c in counts[n].items() if c >= 2} for n in range(2, order + 1)}
+    kept = {n: counts[n] for n in range(2, order + 1)}
     mass = {n: defaultdict(float) for n in kept}
     for n, grams in kept.items():
         for g, c in grams.items():
@@ -139,12 +139,12 @@ def lm_model(train, order, discount):
     return counts[1], total, lambda t: [p(tuple(t[max(0, i - order + 1) : i + 1])) for i in range(len(t))]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(order, spark):
+@pytest.mark.parametrize(("order", "part_tokens", "mounted"), [(1, 1 << 20, True), (2, 20, True), (3, 1 << 20, None), (3, 20, True), (4, 50, True), (3, 20, False)])
+def test_lm_scores(order, part_tokens, mounted, spark):
     rng = random.Random(order)
     texts = [" ".join(rng.choice(["a", "b", "c", "D", f"w{rng.randrange(30)}"]) for _ in range(rng.choice([0, 1, 2, 40]))) for _ in range(80)] + [None]
     train = texts[:60]
-    model = ngram_lm.train_model(spark.createDataFrame([(t,) for t in train], "text string"), order=order)
+    model = ngram_lm.train_model(spark.createDataFrame([(t,) for t in train], "text string"), order=order, part_tokens=part_tokens, mounted=mounted)
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, score int")
     unigrams, total, probabilities = lm_model(train, order, ngram_lm.DISCOUNT)
     for r in ngram_lm.score(docs, model, ["doc_id"]).collect():
