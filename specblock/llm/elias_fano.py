@@ -30,18 +30,26 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray | int]:
     return {"n": n, "low_bits": low_bits, "low": np.concatenate((low, np.zeros(8, np.uint8))), "words": words, "ranks": ranks}
 
 
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: The place of the r-th set bit of each byte.
+_IN_BYTE = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [i for i in range(8) if _byte >> i & 1]
+    _IN_BYTE[_byte, : len(_set)] = _set
+_IN_BYTE = _IN_BYTE.reshape(-1)
+
+
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """The place of the r-th set bit of each word."""
-    place = np.zeros(len(word), np.int64)
-    r = r.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        on = r >= below
-        r = r - below * on
-        shift = width * on
-        word = word >> shift.astype(np.uint64)
-        place += shift
-    return place
+    r = r.astype(np.uint64)
+    n = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    n = (n & np.uint64(0x3333333333333333)) + ((n >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    # Byte k of sums counts the bits of bytes 0 to k.
+    sums = ((n + (n >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    shift = np.bitwise_count(((r * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) * np.uint64(8)
+    before = (sums << np.uint64(8)) >> shift & np.uint64(0xFF)
+    byte = word >> shift & np.uint64(0xFF)
+    return shift.view(np.int64) + _IN_BYTE[(byte * np.uint64(8) + r - before).view(np.int64)]
 
 
 class Sequence:
@@ -62,6 +70,17 @@ class Sequence:
         value = self.words[word] if ones else ~self.words[word]
         return word * 64 + _in_word(value, i - ranks[word])
 
+    def _next(self, place: np.ndarray, i: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the i-th set (or clear) bit, the next one after place."""
+        word = place >> 6
+        value = self.words[word] if ones else ~self.words[word]
+        rest = value & (np.uint64(0xFFFFFFFFFFFFFFFE) << (place & 63).astype(np.uint64))
+        out = (word << 6) + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        beyond = np.flatnonzero(rest == 0)
+        if len(beyond):
+            out[beyond] = self._select(i[beyond], ones)
+        return out
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
@@ -72,15 +91,39 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i) << self.low_bits) | self._lows(i)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1."""
+        place = self._select(i, True)
+        after = self._next(place, i + 1, True)
+        return ((place - i) << self.low_bits) | self._lows(i), ((after - i - 1) << self.low_bits) | self._lows(i + 1)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first value >= x (n if there is none), and whether it equals x."""
         high, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         last = int(self.zeros[-1]) - 1
         far = high > last
         high = np.minimum(high, last)
-        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        stop = np.minimum(self._select(high, False) - high, self.n)
+        place = np.full(len(x), -1)
+        later = np.flatnonzero(high > 0)
+        place[later] = self._select(high[later] - 1, False)
+        start = place - high + 1
+        stop = np.where(high > 0, self._next(np.maximum(place, 0), high, False), 0)
+        first = np.flatnonzero(high == 0)
+        if len(first):
+            stop[first] = self._select(high[first], False)
+        stop = np.minimum(stop - high, self.n)
         end = stop.copy()
+        # Many values that share their high bits lie evenly, as hashed words do: look near the likely place first.
+        many = np.flatnonzero(end - start > 64)
+        if len(many):
+            size = end[many] - start[many]
+            likely, reach = start[many] + (low[many] * size >> self.low_bits), 2 * np.sqrt(size).astype(np.int64)
+            left, right = np.maximum(likely - reach, start[many]), np.minimum(likely + reach, end[many] - 1)
+            low_left, low_right = self._lows(left) < low[many], self._lows(right) >= low[many]
+            start[many] = np.where(low_left, left + 1, start[many])
+            end[many] = np.where(low_right, right, end[many])
+            start[many] = np.where(low_right, start[many], right + 1)
+            end[many] = np.where(low_left, end[many], left)
         while len(open_ := np.flatnonzero(start < end)):
             mid = (start[open_] + end[open_]) >> 1
             less = self._lows(mid) < low[open_]

@@ -50,15 +50,16 @@ from pyspark.sql import functions as F
 
 from specblock.llm import elias_fano
 from specblock.llm.common import shuffle_partitions
-from specblock.llm.word_arrays import WordHasher, mixed
+from specblock.llm.word_arrays import WordHasher
 from specblock.session import discard, ensure_checkpoint_dir, shared_folder, stored
 
 ORDER = 3
 DISCOUNT = 0.75
-#: Tokens handled at once, and quantisation steps for each unit of log10.
-CHUNK_TOKENS = 1 << 19
+#: Texts and tokens handled at once, and quantisation steps for each unit of log10.
+TEXTS = 4096
+CHUNK_TOKENS = 1 << 20
 #: Tokens whose n-grams one part of a level holds, about.
-PART_TOKENS = 1 << 20
+PART_TOKENS = 1 << 21
 STEPS = 4096
 #: Rows that a task holds to combine equal ones, and entries packed into one row.
 HELD_ROWS = 1 << 21
@@ -135,7 +136,7 @@ def unpack(packed: bytes) -> list[np.ndarray]:
 def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Blocks of (keys, counts, codes) as one of distinct, sorted keys; equal keys have equal codes."""
     keys, counts, codes = map(np.concatenate, zip(*held, strict=True))
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys = keys[by]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return [keys[first], np.add.reduceat(counts[by], first), codes[by][first]]
@@ -147,9 +148,8 @@ def _combined(blocks: Iterator[tuple[np.ndarray, np.ndarray | None]]) -> Iterato
     for keys, codes in blocks:
         if not len(keys):
             continue
-        distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
-        held.append([distinct, n, codes[first] if codes is not None else np.zeros(len(n), np.uint16)])
-        size += len(distinct)
+        held.append(_joined([[keys, np.ones(len(keys), np.int64), codes if codes is not None else np.zeros(len(keys), np.uint16)]]))
+        size += len(held[-1][0])
         if size > HELD_ROWS:
             yield _joined(held)
             held, size = [], 0
@@ -159,8 +159,8 @@ def _combined(blocks: Iterator[tuple[np.ndarray, np.ndarray | None]]) -> Iterato
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            texts = batch.slice(at, 2048).column(0).to_pylist()
+        for at in range(0, batch.num_rows, TEXTS):
+            texts = batch.slice(at, TEXTS).column(0).to_pylist()
             for start, end in text_blocks(texts):
                 yield texts[start:end]
 
@@ -251,33 +251,6 @@ def _fetched(name: str) -> str:
     return os.path.join(out, name)
 
 
-#: Bits of the filter for each entry, and hash bits that an entry sets.
-FILTER_BITS, FILTER_PROBES = 10, 3
-
-
-def _probes(size: int, keys: np.ndarray) -> Iterator[np.ndarray]:
-    h = keys.view(np.uint64)
-    for k in range(FILTER_PROBES):
-        h = mixed(h + np.uint64(k + 1))
-        yield (h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
-
-
-def _filter_of(keys: np.ndarray) -> np.ndarray:
-    size = -(-len(keys) * FILTER_BITS // 8) * 8
-    bits = np.zeros(size, np.uint8)
-    for at in _probes(size, keys):
-        bits[at] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    size = len(bits) * 8
-    ok = np.ones(len(keys), bool)
-    for at in _probes(size, keys):
-        ok &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return ok
-
-
 class Reader:
     """A worker's view of the files; a part is mapped while it is read."""
 
@@ -335,16 +308,13 @@ class Reader:
             at = low + np.flatnonzero((c := distinct[low:high] // self.base - meta["first_context"]) < meta["contexts"])
             c = c[: len(at)]
             backoff[at] = array("backoff")[c]
-            # Most keys are in no trie: a few bits of each entry's hash turn them away.
-            some = _passes(array("filter"), distinct[at])
-            at, c = at[some], c[some]
             if not len(at):
                 continue
             w, pointers, values = distinct[at] % self.base, code("pointers"), code("values")
             # Keys are sorted: each context's bounds and origin are read once.
             new = np.append(True, c[1:] != c[:-1])
             each = c[new]
-            begin, end = pointers.get(each), pointers.get(each + 1)
+            begin, end = pointers.get_two(each)
             origin = np.zeros(len(each), np.int64)
             later = np.flatnonzero((begin > 0) & (begin < end))
             origin[later] = values.get(begin[later] - 1) + 1
@@ -531,7 +501,7 @@ def _bytes_of(key: np.ndarray, base: int, probs: np.ndarray, backoff: np.ndarray
     dense[context[starts] - context[0]] = backoff
     arrays = {f"{name}_{part}": code[part] for name, code in (("pointers", pointers), ("values", values)) for part in ("words", "ranks", "low")}
     out, offset, where = [], 0, {}
-    for name, a in (arrays | {"probs": probs, "filter": _filter_of(key), "backoff": dense}).items():
+    for name, a in (arrays | {"probs": probs, "backoff": dense}).items():
         raw = a.tobytes()
         raw += b"\0" * (-len(raw) % 8)
         where[name] = (offset, a.dtype.str, len(a))
@@ -627,8 +597,8 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, reader = WordHasher(), model.reader()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 for start, end in text_blocks(texts):
                     hashes, sizes = text_hashes(texts[start:end], hasher)
