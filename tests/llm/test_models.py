@@ -272,7 +272,7 @@ def test_neighbours_of_odd_vectors(spark):
     rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 60)] + [(100 + i, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0]) for i in range(30)]
     bad = [(200, None), (300, [0.0] * 6), (400, [float("nan")] * 6), (500, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (600, [1.0, 2.0]), (None, [1.0] * 6), (700, [float("inf")] * 6)]
     table = spark.createDataFrame([(*r, 7) for r in rows + bad + rows[:2]], "vec_id long, embedding array<double>, rank int")
-    exact = nearest.nearest(table, F.col("id") % 100 == 0, tables=12, probes=8, part_rows=8)
+    exact = nearest.nearest(table, F.col("id") % 100 == 0, tables=12, part_rows=8)
     got = sorted((r["rank"], r.vec_id, r.score) for r in exact.collect())
     assert got == [(k, 100 + k, 0.0) for k in range(1, 11)]
     alone = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>")
@@ -280,6 +280,31 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest.nearest(table.where("false"), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_a_huge_norm(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (100, [1.0, 0.05]), (100, [0.0, 1.0])]
+    found = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in found.collect())
+    every = []
+    for i, v in enumerate(rows):
+        if v[0] == 100:
+            others = sorted((round(math.dist(v[1], w[1]), 6), w[0]) for j, w in enumerate(rows) if j != i)
+            every += [(100, r, d, s) for r, (s, d) in enumerate(others, 1)]
+    assert got == sorted(every)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[7] *= 1000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in nearest.nearest(table, F.col("id") % 100 == 0).collect():
+        found[r.query_id].append(r.vec_id)
+    hits = 0
+    for q, ids in found.items():
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len({*ids} & {*np.argsort(d)[:10].tolist()})
+    assert len(found) == 30 and hits >= 0.9 * 300
+
+
 def test_chats(spark):
     long = [("user", "hi"), ("bot", "yes"), ("user", "<|im_end|>")]
     chats = {1: long[:1], 2: long[:2], 3: long, 4: long, 5: [("user", "hi"), ("bot", None)], 6: [("user", "hi"), ("bot", "")], None: [("bot", "x")]}
