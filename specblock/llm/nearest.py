@@ -50,9 +50,11 @@ RECALL = 0.95
 SAMPLE = 64
 MOST_PROBES = 512
 #: Comparisons that one more probed cell costs, about, besides those in it.
-PROBE_COST = 5
-#: Vectors compared with a block of queries at once.
+PROBE_COST = 20
+#: Vectors compared with a block of queries at once; rows of a cell that is compared together with others; pairs measured at once.
 BLOCK = 2048
+SMALL = 256
+PAIRS = 1 << 16
 BROADCAST_ROWS = 500_000
 
 
@@ -176,8 +178,31 @@ def _near(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return a, b, np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1))
 
 
+def _small_cells(starts: np.ndarray, firsts: np.ndarray, ends: np.ndarray, cls: np.ndarray, rep: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each query in cells of few rows, whose queries begin at starts and candidates at firsts."""
+    asked, held = firsts - starts, ends - firsts
+    row = np.repeat(starts - np.cumsum(asked) + asked, asked) + np.arange(asked.sum())
+    first, many = np.repeat(firsts, asked), np.repeat(held, asked)
+    q, name = np.unique(cls[row], return_inverse=True)
+    best = _nobody()
+    upto = np.cumsum(many)
+    low = 0
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, "right")))
+        n = many[low:high]
+        a = np.repeat(np.arange(low, high), n)
+        b = np.repeat(first[low:high] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.sqrt(((x[row[a]] - x[b]) ** 2).sum(axis=1))
+        # A candidate that shares several cells with a query counts once.
+        by = np.lexsort((cls[b], name[a]))
+        by = by[np.append(True, (name[a][by][1:] != name[a][by][:-1]) | (cls[b][by][1:] != cls[b][by][:-1]))[: len(by)]]
+        best = _merge_best(best, name[a][by], rep[b][by], cls[b][by], score[by], 2 * k)
+        low = high
+    return pa.RecordBatch.from_arrays([pa.array(q[best[0]]), pa.array(best[3]), pa.array(best[2]), pa.array(best[1])], ["q", "cls", "rep", "score"])
+
+
 def _searcher(k: int):
-    """Streams cells (queries first): the k best classes of each query in its cell."""
+    """Streams cells (queries first): the k best classes of each query, by cells or by several small cells together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, qs, q_cls, best = None, [], [], None
@@ -189,8 +214,19 @@ def _searcher(k: int):
         for batch in batches:
             cells, salts, kinds, cls, rep = (batch.column(i).to_numpy() for i in range(5))
             x = _matrix(batch.column(5))
-            edges = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]) | (salts[1:] != salts[:-1]) | (kinds[1:] != kinds[:-1])))
-            for start, end in zip(edges, np.append(edges[1:], len(cells)), strict=True):
+            new = np.append(True, (cells[1:] != cells[:-1]) | (salts[1:] != salts[:-1]))[: len(cells)]
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(cells))[: len(starts)]
+            firsts = starts + np.add.reduceat(kinds == 0, starts) if len(starts) else starts
+            # The first and the last cell of a batch may be part of a larger one.
+            inner = np.zeros(len(starts), bool)
+            inner[1:-1] = True
+            small = inner & (ends - starts <= SMALL)
+            both = small & (firsts > starts) & (firsts < ends)
+            if both.any():
+                yield _small_cells(starts[both], firsts[both], ends[both], cls, rep, x, k)
+            rest = [edge for at in np.flatnonzero(~small) for edge in ((starts[at], firsts[at]), (firsts[at], ends[at])) if edge[0] < edge[1]]
+            for start, end in rest:
                 if (cells[start], salts[start]) != cell:
                     yield from flush()
                     cell, qs, q_cls, best = (cells[start], salts[start]), [], [], None
