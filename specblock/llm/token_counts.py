@@ -1,12 +1,15 @@
 """Token counts of a merge-table tokenizer by rank-synchronous array merging.
 
-Pre-tokens of a batch are laid out in one ragged numpy array of symbol ids.
-Each round finds the best-ranked adjacent pair of every row at once, applies
-it, and retires the rows that have none left; the symbols that survive are
-counted.  A pair may be applied at all its places in a row at once only when
-no pair with the new symbol could outrank it, which a table made beforehand
-tells; otherwise only the leftmost place is taken, so the result is that of
-merging one pair at a time.
+Pre-tokens of a batch are laid out in one ragged numpy array of symbol ids, in
+rows that end where two characters meet that no piece holds side by side: no
+merge can cross such a place.  Each round finds the best-ranked adjacent pair
+of every row at once, applies it, and retires the rows that have none left;
+the symbols that survive are counted.  A pair may be applied at all its places
+in a row at once only when no pair with the new symbol could outrank it, which
+a table made beforehand tells; otherwise only the leftmost place is taken, so
+the result is that of merging one pair at a time.  A row of over `LONG_ROW`
+symbols (letters without a space, for instance) would need too many rounds: it
+merges one pair at a time from a heap, in about linear time.
 
 Defined results: a null text counts as empty (no bytes, no tokens); null ids
 are kept; repeated rows give repeated results; an empty table gives none;
@@ -15,8 +18,10 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,9 @@ NO_RANK = np.iinfo(np.int32).max
 #: Pre-tokens kept with their counts in a worker, and the longest one kept.
 MEMO_ENTRIES = 600_000
 MEMO_CHARS = 64
-#: Symbols laid out at once.
+#: Symbols laid out at once, and the most that a row has in array rounds.
 CHUNK_SYMBOLS = 2_000_000
+LONG_ROW = 256
 
 
 class MergeTable:
@@ -68,6 +74,9 @@ class MergeTable:
         chars = {ch: i for ch, i in ids.items() if len(ch) == 1}
         self.char_codes = np.array(sorted(map(ord, chars)), np.int64)
         self.char_ids = np.array([chars[chr(c)] for c in self.char_codes], np.int32)
+        #: Characters that stand side by side in a piece.
+        inner = {(ord(a) << 21) + ord(b) for p, _ in pieces for a, b in zip(p, p[1:], strict=False)}
+        self.inner = np.array(sorted(inner), np.int64)
         #: Spaces lead their word in every piece, and no piece holds a newline.
         self.splits_words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
         self.splits_lines = not any("\n" in p for p, _ in pieces)
@@ -76,6 +85,18 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
         return np.where(self.char_codes[at] == codes, self.char_ids[at], self.other)
 
+    def meets(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each character and the next can be in one piece."""
+        key = (codes[:-1] << 21) + codes[1:]
+        if not len(self.inner):
+            return np.zeros(len(key), bool)
+        return self.inner[np.minimum(np.searchsorted(self.inner, key), len(self.inner) - 1)] == key
+
+    @cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """(rank, made) of each pair."""
+        return dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -113,14 +134,61 @@ def count_pretokens(table: MergeTable, words: list[str]) -> np.ndarray:
     return out
 
 
+def _merge_long(table: MergeTable, symbol: list[int]) -> list[int]:
+    """Where symbols survive in one row: its pairs merge best rank first, leftmost of equal ones."""
+    merges, base, n = table.merges, table.base, len(symbol)
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    heap = []
+
+    def consider(left: int) -> None:
+        key = symbol[left] * base + symbol[after[left]]
+        if key in merges:
+            heapq.heappush(heap, (merges[key][0], left, key))
+
+    for left in range(n - 1):
+        consider(left)
+    while heap:
+        _, left, key = heapq.heappop(heap)
+        right = after[left]
+        if right == n or symbol[left] * base + symbol[right] != key:
+            continue  # one of the two has merged meanwhile
+        symbol[left], symbol[right] = merges[key][1], -1
+        after[left] = then = after[right]
+        if then < n:
+            before[then] = left
+            consider(left)
+        if before[left] >= 0:
+            consider(before[left])
+    return [i for i in range(n) if symbol[i] >= 0]
+
+
 def _count_chunk(table: MergeTable, words: list[str]) -> np.ndarray:
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     length = np.fromiter(map(len, words), np.int64, len(words))
-    row = np.repeat(np.arange(len(words)), length)
+    starts = np.cumsum(length) - length
+    begins = np.append(True, ~table.meets(codes))
+    begins[starts] = True
+    starts = np.searchsorted(np.flatnonzero(begins), starts)
+    total = _count_rows(table, codes, np.cumsum(begins) - 1)
+    return np.add.reduceat(total, starts)
+
+
+def _count_rows(table: MergeTable, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Tokens of each row of characters, which are numbered from 0."""
     symbol = table.symbols(codes)
     # A character outside the vocabulary never merges; it falls back to its bytes.
     width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-    total = np.zeros(len(words), np.int64)
+    n_rows = int(row[-1]) + 1
+    total, sizes = np.zeros(n_rows, np.int64), np.bincount(row)
+    if sizes.max() > LONG_ROW:
+        ends = np.cumsum(sizes)
+        for each in np.flatnonzero(sizes > LONG_ROW).tolist():
+            own = slice(ends[each] - sizes[each], ends[each])
+            left = _merge_long(table, merged := symbol[own].tolist())
+            wide = width[own].tolist()
+            total[each] = sum(1 if merged[i] < table.known else wide[i] for i in left)
+        short = sizes[row] <= LONG_ROW
+        symbol, width, row = symbol[short], width[short], row[short]
     while len(symbol):
         rank, made = table.pair_ranks(symbol[:-1], symbol[1:])
         rank[row[:-1] != row[1:]] = NO_RANK
@@ -132,7 +200,7 @@ def _count_chunk(table: MergeTable, words: list[str]) -> np.ndarray:
         done = np.repeat(best == NO_RANK, per_row)
         if done.any():
             counted = np.where(symbol[done] < table.known, 1, width[done])
-            total += np.bincount(row[done], counted, len(words)).astype(np.int64)
+            total += np.bincount(row[done], counted, n_rows).astype(np.int64)
             keep = ~done
             symbol, row, width, rank, made = symbol[keep], row[keep], width[keep], rank[keep], made[keep]
             alive = best != NO_RANK

@@ -40,6 +40,34 @@ def test_token_counts_of_odd_texts(table, library):
     assert token_counts.text_counter(table)(texts) == [len(x) for x in library.encode(texts)]
 
 
+LETTERS = {
+    "letters": "abcdefghijklmnopqrstuvwxyz",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "cjk": "的一是不了人我在有他这为之大来以个中上们日本語のはにをがと",
+    "few": "ae",
+    "vowels": "étaoin",
+}
+
+
+@pytest.mark.parametrize("kind", LETTERS)
+def test_long_words_equal_the_library(kind, table, library):
+    rng = random.Random(kind)
+    texts = ["".join(rng.choice(LETTERS[kind]) for _ in range(n)) for n in (1, 2, 3, 50, 255, 256, 257, 258, 300, 1000, 5000, 100_000)]
+    assert token_counts.text_counter(table)(texts) == [len(x) for x in library.encode(texts)]
+
+
+@given(st.lists(st.text("aeintABé日", min_size=1, max_size=60), min_size=1, max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_long_rows_merge_as_short_ones(table, words):
+    joined = ["".join(words) * 3, *words]
+    limit, token_counts.LONG_ROW = token_counts.LONG_ROW, 4
+    try:
+        by_heap = token_counts.count_pretokens(table, joined).tolist()
+    finally:
+        token_counts.LONG_ROW = limit
+    assert by_heap == token_counts.count_pretokens(table, joined).tolist()
+
+
 def test_token_count_query(spark, sf_dir, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op10_token_counts(spark, sf_dir).collect()
