@@ -1,20 +1,21 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates: SimHash candidates, verified by the similarity of word shingles.
 
-Two texts are linked if the sets of their word shingles have a Jaccard
+Two texts are linked if the sets of their five-word shingles have a Jaccard
 similarity of `similarity` or more; groups are those of chained links.  Every
-link is verified on the texts.  Which pairs are verified is told by MinHash:
-each text has BANDS keys of ROWS minima, and texts that share a key are
-candidates.  A pair at similarity s shares none with probability
-(1 - s ** ROWS) ** BANDS: 2.7e-6 at 0.8, less above.
-
-A bucket (the texts of a key) is verified in two rounds.  In the first each
-member meets one leader, drawn by key, so a large group of near copies meets
-many leaders and is joined without all pairs.  In the second all pairs of a
-bucket that the links so far leave in different groups are verified, so a
-group is never split because a leader resembled its members too little.
+link is verified on the texts.  Which pairs are verified is told by SimHash:
+fingerprints of two-word shingles, which an edited word changes less than those
+of five, dealt out by the covering tables of simhash.py.  Pairs within RADIUS
+bits share a table for certain, those a little further apart mostly; what is
+within NEAR bits in both lanes is a candidate.
+
+The buckets of the tables are read in two rounds.  In the first each member
+meets one leader, drawn by bucket, so a large group of near copies meets many
+leaders and is joined without all pairs.  In the second the pairs that the
+links so far leave in different groups meet, so a group is never split because
+a leader resembled its members too little.
 
 Texts are made distinct first.  Words and shingles are told apart by 64-bit
-hashes; sizes that rule out the similarity rule out a pair.
+hashes; numbers of shingles that rule out the similarity rule out a pair.
 
 Defined results: a null text or one without words equals the others without
 words; fewer words than a shingle make one shingle of them all; rows with a
@@ -31,18 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specblock.llm import simhash
 from specblock.llm.word_arrays import WordHasher, mixed
 from specblock.operators.graph import connected_components
 from specblock.session import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
-#: Texts handled at once.
+#: Words of a shingle of the fingerprints, seeds of their lanes, bits that tables cover in how many parts, bits that candidates may differ in.
+FINGERPRINT_SHINGLE = 2
+SEEDS = (42, 43)
+RADIUS, PARTS = 9, 2
+NEAR = 13
+#: Texts handled at once, and the members of a bucket whose pairs are all looked at.
 TEXTS = 256
+FEW = 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _FACTOR)
-_ODD = mixed(_SALTS + np.uint64(1)) | np.uint64(1)
 
 
 def shingles(texts: list[str | None], hasher: WordHasher, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,29 +85,26 @@ def similarities(a: list[str | None], b: list[str | None], hasher: WordHasher, s
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, txt, node, n, keys) of every row: hash of the text, of its words, number of shingles, band keys."""
+    """(id, txt, node, n, fp, fp1) of every row: hash of the text, of its words, number of shingles, fingerprints."""
+    lanes = simhash.lane_names(len(SEEDS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
-                grams, counts = shingles(part.column(2).to_pylist(), hasher, shingle)
+                texts = part.column(2).to_pylist()
+                grams, counts = shingles(texts, hasher, shingle)
                 starts = np.cumsum(counts) - counts
                 place = (np.arange(len(grams)) - np.repeat(starts, counts)).astype(np.uint64)
                 node = np.add.reduceat(mixed(grams + place * _FACTOR), starts)
                 n = np.bincount(distinct(grams, counts)[0], minlength=len(counts))
-                keys = np.empty((len(counts), BANDS), np.uint64)
-                for band in range(BANDS):
-                    key = np.full(len(counts), band, np.uint64)
-                    for p in range(band * ROWS, band * ROWS + ROWS):
-                        key = mixed(key * _FACTOR + np.minimum.reduceat((grams ^ _SALTS[p]) * _ODD[p], starts))
-                    keys[:, band] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), lists], ["id", "txt", "node", "n", "keys"])
+                fps = np.array([simhash.fingerprint(t, FINGERPRINT_SHINGLE, SEEDS) for t in texts], np.uint64).view(np.int64)
+                columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(fps[:, k]) for k in range(len(SEEDS)))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "txt", "node", "n", *lanes])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, txt long, node long, n long, keys array<long>")
+    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, txt long, node long, n long, {', '.join(f'{lane} long' for lane in lanes)}")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -125,32 +127,91 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return cut(joined.mapInArrow(work, "a long, b long"))
 
 
+def _fits(i: np.ndarray, j: np.ndarray, lanes: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows are candidates."""
+    ok = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+    for lane in lanes:
+        ok[ok] = np.bitwise_count(lane[i[ok]] ^ lane[j[ok]]) <= NEAR
+    return ok
+
+
+def _ordered(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes, the smaller first."""
+    pairs = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def leaders_of(similarity: float):
+    """For simhash.radius_links: candidates of each member of a bucket and its leader, drawn by hash."""
+
+    def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarray]:
+        *lanes, sizes = [*(c.view(np.uint64) for c in columns[:-1]), columns[-1]]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        # What all of a bucket share makes its draw its own.
+        draw = mixed(node.view(np.uint64) ^ mixed(np.bitwise_and.reduceat(lanes[0], starts))[np.cumsum(np.append(0, group[1:] != group[:-1]))])
+        by = np.lexsort((draw, group))
+        leader = np.repeat(by[starts], np.diff(np.append(starts, len(group))))
+        i = np.arange(len(group))
+        other = np.flatnonzero(node[leader] != node)
+        ok = other[_fits(i[other], leader[other], lanes, sizes, similarity)]
+        return _ordered(node, ok, leader[ok])
+
+    return find
+
+
+def apart_in(similarity: float):
+    """For simhash.radius_links: all candidates of a bucket between nodes of different groups, told by the last lane."""
+
+    def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarray]:
+        label, sizes, lanes = columns[-1], columns[-2], [c.view(np.uint64) for c in columns[:-2]]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = np.append(starts[1:], len(group))
+        mixed_up = (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)) & (ends - starts > 1)
+        found = []
+        few = mixed_up & (ends - starts <= FEW)
+        # Few members: all pairs, by how far apart they stand.
+        left = np.zeros(len(group), np.int64)
+        for start, end in zip(starts[few], ends[few], strict=True):
+            left[start:end] = np.arange(end - start, 0, -1)
+        at, step = np.flatnonzero(left > 1), 1
+        while len(at):
+            near = at[label[at] != label[at + step]]
+            near = near[_fits(near, near + step, lanes, sizes, similarity)]
+            found.append((near, near + step))
+            step += 1
+            at = at[left[at] > step]
+        # Many: those outside the largest group against all.
+        for start, end in zip(starts[mixed_up & ~few], ends[mixed_up & ~few], strict=True):
+            labels, back, n = np.unique(label[start:end], return_inverse=True, return_counts=True)
+            members = np.arange(start, end)
+            for i in members[back != n.argmax()]:
+                j = members[label[start:end] != label[i]]
+                j = j[_fits(np.full(len(j), i), j, lanes, sizes, similarity)]
+                found.append((np.full(len(j), i), j))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return _ordered(node, *map(np.concatenate, zip(*found, strict=True)))
+
+    return find
+
+
 def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) between nodes (node, txt, n, keys): verified links whose components are those of all candidate pairs."""
-    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("order"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("leader")
-    leaders = rows.groupBy("key").agg(drawn, F.count("*").alias("c")).where("c > 1").select("key", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
-    members = cut(rows.join(leaders, "key"))
-    fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similarity
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = cut(members.where((F.col("node") != F.col("leader")) & fits("n", "leader_n")).select(*pair("node", "leader")).distinct())
+    """(a, b) between nodes (node, txt, n, fp, fp1): verified links whose components are those of all candidates."""
+    lanes = simhash.lane_names(len(SEEDS))
+    first = cut(simhash.radius_links(nodes.select("node", *lanes, "n"), RADIUS, PARTS, find=leaders_of(similarity)).distinct())
     found = _verified(first, nodes, texts, shingle, similarity)
-
-    # Only buckets that the links so far leave in several groups go on.
     group = connected_components(found)
-    placed = members.select("key", "node", "n").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = cut(placed.join(open_, "key", "left_semi"))
-    x, y = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "xy")
-    met = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits("n_x", "n_y"))
-    second = cut(met.select(*pair("node_x", "node_y")).distinct().join(first, ["a", "b"], "left_anti"))
+    placed = nodes.select("node", *lanes, "n").join(group, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    second = simhash.radius_links(placed.select("node", *lanes, "n", "label"), RADIUS, PARTS, find=apart_in(similarity))
+    second = cut(second.distinct().join(first, ["a", "b"], "left_anti"))
     return found.union(_verified(second, nodes, texts, shingle, similarity))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays."""
     marked = cut(signatures(docs, shingle, id_col, text_col))
-    nodes = cut(marked.groupBy("node").agg(F.min("txt").alias("txt"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    lanes = simhash.lane_names(len(SEEDS))
+    nodes = cut(marked.groupBy("node").agg(F.min("txt").alias("txt"), *(F.first(c).alias(c) for c in ("n", *lanes))))
     texts = docs.select(F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
     joined = connected_components(links(nodes, texts, shingle, similarity))
     named = marked.select("id", "txt", "node").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))

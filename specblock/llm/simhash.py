@@ -32,7 +32,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -155,11 +155,12 @@ def bucket_links(group: np.ndarray, node: np.ndarray, lanes: list[np.ndarray], r
     return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
-def _stream_links(keys: DataFrame, radius: int, bucket_rows: int | None) -> DataFrame:
+def _stream_links(keys: DataFrame, radius: int, bucket_rows: int | None, find: Callable = bucket_links) -> DataFrame:
     """(table, a, b, more) from (table, key, node, lanes).
 
-    Rows of table -1 are links (a, b); the others are members of buckets of
-    over bucket_rows rows, with node in a and the lanes in b and more.
+    Rows of table -1 are links (a, b) that find gives for whole buckets; the
+    others are members of buckets of over bucket_rows rows, with node in a and
+    the lanes in b and more.
     """
     lanes = keys.columns[3:]
     names = ["table", "a", "b", *lanes[1:]]
@@ -190,7 +191,7 @@ def _stream_links(keys: DataFrame, radius: int, bucket_rows: int | None) -> Data
                 yield batch_of(*(p[:done][on] for p in (table, node, parts[3])), [p[:done][on] for p in parts[4:]])
             group = np.repeat(np.arange(len(sizes)), sizes)[~on]
             if len(group) > 1:
-                a, b = bucket_links(group, node[:done][~on], [p[:done][~on] for p in parts[3:]], radius)
+                a, b = find(group, node[:done][~on], [p[:done][~on] for p in parts[3:]], radius)
                 if len(a):
                     yield batch_of(np.full(len(a), -1), a, b, [np.zeros(len(a), np.int64)] * (len(lanes) - 1))
 
@@ -243,17 +244,19 @@ def _spread(members: DataFrame, masks: Masks) -> DataFrame:
     return members.mapInArrow(work, f"table long, key int, {kinds}")
 
 
-def radius_links(fps: DataFrame, radius: int, parts: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def radius_links(fps: DataFrame, radius: int, parts: int = 1, bucket_rows: int = BUCKET_ROWS, find: Callable = bucket_links) -> DataFrame:
     """(a, b) between nodes: links whose components are those of all pairs within radius.
 
-    fps holds distinct nodes (node long) with their fingerprints (fp and further lanes).
+    fps holds distinct nodes (node long) with their fingerprints (fp and
+    further lanes).  Another find than bucket_links tells what else to take of
+    the nodes of a bucket: it gets their bucket, node and lanes.
     """
     lanes = [c for c in fps.columns if c != "node"]
     masks = Masks(radius, parts)
     members = fps.select(F.lit(0).cast("long").alias("table"), "node", *lanes)
     found = None
     for level in range(1, LEVELS + 1):
-        out = cut(_stream_links(_spread(members, masks), radius, bucket_rows if level < LEVELS else None))
+        out = cut(_stream_links(_spread(members, masks), radius, bucket_rows if level < LEVELS else None, find))
         links = out.where("table = -1").select("a", "b")
         found = links if found is None else found.union(links)
         rest = out.where("table <> -1")
@@ -286,21 +289,3 @@ def near_duplicates(
     whole = marked.join(named, lane_names(len(seeds)))
     return whole.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_of_each(
-    docs: DataFrame, shingle: int = 5, radius: int = 11, parts: int = 2, seeds: tuple[int, ...] = (SEED, SEED + 1), bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id stays.
-
-    With shingles of five words, a distance of 11 bits in each of two lanes
-    stands for a similarity (Jaccard) of about 0.8.
-    """
-    marked = cut(fingerprints(docs, shingle, seeds, id_col, text_col))
-    named = components(marked, radius, parts, bucket_rows)
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("tag").alias("tag"))).alias("first")
-    kept = marked.join(named, lane_names(len(seeds))).groupBy("label").agg(first).select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag"))
-    kept = kept.hint("shuffle_hash")
-    left = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (F.hash(docs[text_col]) == kept["__tag"]), "left_semi")
-    # Rows that share id and text are one another's copies as well.
-    repeated = marked.groupBy("id", "tag").count().where("count > 1")
-    return left if repeated.isEmpty() else left.withColumn("__tag", F.hash(text_col)).dropDuplicates([id_col, "__tag"]).drop("__tag")
