@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept.  All but the last return the columns of `documents`.
+
+Defined results: a document whose text is null or has no letters goes with
+language ID (so an empty text does); one whose source is null spreads no line
+and is a source of its own in the mix; lang is only learned from, and may be
+null; a null id is kept as such; of rows that share id and text one stays; an
+empty table gives no rows; columns that documents does not have are dropped.
 """
 
 from __future__ import annotations
@@ -55,7 +61,7 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: SQL cannot express rank-order profiles or MinHash keys; tests/llm compares run() with a brute-force version.
+#: SQL cannot express rank-order profiles, fingerprints or hash-random order; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 
