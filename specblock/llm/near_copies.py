@@ -9,8 +9,8 @@ bits share a table for certain, those a little further apart mostly; what is
 within NEAR bits in both lanes is a candidate.
 
 The buckets of the tables are read in two rounds.  In the first each member
-meets one leader, drawn by bucket, so a large group of near copies meets many
-leaders and is joined without all pairs.  In the second the pairs that the
+meets a few leaders, so a large group of near copies is joined without all
+pairs.  In the second the pairs that the
 links so far leave in different groups meet, so a group is never split because
 a leader resembled its members too little.
 
@@ -39,11 +39,16 @@ from specblock.session import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Words of a shingle of the fingerprints, seeds of their lanes, bits that tables cover in how many parts, bits that candidates may differ in.
+#: Words of a shingle of the fingerprint that is dealt out, bits that its tables cover in how many parts, bits that candidates may differ in.
 FINGERPRINT_SHINGLE = 2
-SEEDS = (42, 43)
 RADIUS, PARTS = 9, 2
 NEAR = 13
+#: Seeds of the fingerprints of whole shingles, and bits that candidates may differ in.
+SEEDS = (42, 43)
+NEAR_LONG = 27
+LANES = simhash.lane_names(1 + len(SEEDS))
+#: Leaders that a member of a bucket meets.
+DRAWS = 2
 #: Texts handled at once, and the members of a bucket whose pairs are all looked at.
 TEXTS = 256
 FEW = 64
@@ -85,8 +90,7 @@ def similarities(a: list[str | None], b: list[str | None], hasher: WordHasher, s
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, txt, node, n, fp, fp1) of every row: hash of the text, of its words, number of shingles, fingerprints."""
-    lanes = simhash.lane_names(len(SEEDS))
+    """(id, txt, node, n, LANES) of every row: hash of the text, of its words, number of shingles, fingerprints."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -99,12 +103,12 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
                 place = (np.arange(len(grams)) - np.repeat(starts, counts)).astype(np.uint64)
                 node = np.add.reduceat(mixed(grams + place * _FACTOR), starts)
                 n = np.bincount(distinct(grams, counts)[0], minlength=len(counts))
-                fps = np.array([simhash.fingerprint(t, FINGERPRINT_SHINGLE, SEEDS) for t in texts], np.uint64).view(np.int64)
-                columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(fps[:, k]) for k in range(len(SEEDS)))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "txt", "node", "n", *lanes])
+                fps = np.array([simhash.fingerprint(t, FINGERPRINT_SHINGLE) + simhash.fingerprint(t, shingle, SEEDS) for t in texts], np.uint64).view(np.int64)
+                columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(fps[:, k]) for k in range(len(LANES)))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "txt", "node", "n", *LANES])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, txt long, node long, n long, {', '.join(f'{lane} long' for lane in lanes)}")
+    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, txt long, node long, n long, {', '.join(f'{lane} long' for lane in LANES)}")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -130,8 +134,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 def _fits(i: np.ndarray, j: np.ndarray, lanes: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of rows are candidates."""
     ok = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
-    for lane in lanes:
-        ok[ok] = np.bitwise_count(lane[i[ok]] ^ lane[j[ok]]) <= NEAR
+    ok[ok] = np.bitwise_count(lanes[0][i[ok]] ^ lanes[0][j[ok]]) <= NEAR
+    ok[ok] = sum(np.bitwise_count(lane[i[ok]] ^ lane[j[ok]]) for lane in lanes[1:]) <= NEAR_LONG
     return ok
 
 
@@ -141,20 +145,43 @@ def _ordered(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
     return pairs[:, 0], pairs[:, 1]
 
 
+def _off_centre(starts: np.ndarray, many: np.ndarray, lanes: list[np.ndarray]) -> np.ndarray:
+    """How many bits each row differs in from the majority of its bucket."""
+    off = np.zeros(int(many.sum()), np.int64)
+    for lane in lanes:
+        bits = np.unpackbits(lane.view(np.uint8).reshape(-1, 8), axis=1)
+        centre = np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > many[:, None], axis=1).view(np.uint64)[:, 0]
+        off += np.bitwise_count(lane ^ np.repeat(centre, many))
+    return off
+
+
 def leaders_of(similarity: float):
-    """For simhash.radius_links: candidates of each member of a bucket and its leader, drawn by hash."""
+    """For simhash.radius_links: candidates of each member of a bucket and its leaders.
+
+    One leader is the member nearest to the majority of the bucket's bits: of
+    a text and its near copies the text itself, more often than not.  The
+    others are drawn by hash, alike in all buckets, so the members of a large
+    group meet the same few again, not new ones in each table.
+    """
 
     def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarray]:
-        *lanes, sizes = [*(c.view(np.uint64) for c in columns[:-1]), columns[-1]]
+        several = np.append(True, group[1:] != group[:-1])
+        several = ~(several & np.append(several[1:], True))
+        group, node, columns = group[several], node[several], [c[several] for c in columns]
+        if not len(group):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lanes, sizes = [np.ascontiguousarray(c).view(np.uint64) for c in columns[:-1]], columns[-1]
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        # What all of a bucket share makes its draw its own.
-        draw = mixed(node.view(np.uint64) ^ mixed(np.bitwise_and.reduceat(lanes[0], starts))[np.cumsum(np.append(0, group[1:] != group[:-1]))])
-        by = np.lexsort((draw, group))
-        leader = np.repeat(by[starts], np.diff(np.append(starts, len(group))))
-        i = np.arange(len(group))
-        other = np.flatnonzero(node[leader] != node)
-        ok = other[_fits(i[other], leader[other], lanes, sizes, similarity)]
-        return _ordered(node, ok, leader[ok])
+        many = np.diff(np.append(starts, len(group)))
+        found = []
+        for draw in range(DRAWS):
+            order = mixed(node.view(np.uint64) + np.uint64(draw))
+            by = np.lexsort((order, _off_centre(starts, many, lanes), group)) if not draw else np.lexsort((order, group))
+            leader = np.repeat(by[starts], many)
+            other = np.flatnonzero(node[leader] != node)
+            ok = other[_fits(other, leader[other], lanes, sizes, similarity)]
+            found.append((ok, leader[ok]))
+        return _ordered(node, *map(np.concatenate, zip(*found, strict=True)))
 
     return find
 
@@ -196,13 +223,12 @@ def apart_in(similarity: float):
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) between nodes (node, txt, n, fp, fp1): verified links whose components are those of all candidates."""
-    lanes = simhash.lane_names(len(SEEDS))
-    first = cut(simhash.radius_links(nodes.select("node", *lanes, "n"), RADIUS, PARTS, find=leaders_of(similarity)).distinct())
+    """(a, b) between nodes (node, txt, n, LANES): verified links whose components are those of all candidates."""
+    first = cut(simhash.radius_links(nodes.select("node", *LANES, "n"), RADIUS, PARTS, find=leaders_of(similarity)).distinct())
     found = _verified(first, nodes, texts, shingle, similarity)
     group = connected_components(found)
-    placed = nodes.select("node", *lanes, "n").join(group, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    second = simhash.radius_links(placed.select("node", *lanes, "n", "label"), RADIUS, PARTS, find=apart_in(similarity))
+    placed = nodes.select("node", *LANES, "n").join(group, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    second = simhash.radius_links(placed.select("node", *LANES, "n", "label"), RADIUS, PARTS, find=apart_in(similarity))
     second = cut(second.distinct().join(first, ["a", "b"], "left_anti"))
     return found.union(_verified(second, nodes, texts, shingle, similarity))
 
@@ -210,8 +236,7 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays."""
     marked = cut(signatures(docs, shingle, id_col, text_col))
-    lanes = simhash.lane_names(len(SEEDS))
-    nodes = cut(marked.groupBy("node").agg(F.min("txt").alias("txt"), *(F.first(c).alias(c) for c in ("n", *lanes))))
+    nodes = cut(marked.groupBy("node").agg(F.min("txt").alias("txt"), *(F.first(c).alias(c) for c in ("n", *LANES))))
     texts = docs.select(F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
     joined = connected_components(links(nodes, texts, shingle, similarity))
     named = marked.select("id", "txt", "node").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
