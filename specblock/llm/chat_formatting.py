@@ -50,9 +50,9 @@ def maximal_conversations(numbered: DataFrame) -> DataFrame:
     """(conv, turns) of conversations that are no prefix of a longer one, one of equal ones."""
     prefixes = cut(prefix_hashes(numbered))
     longer = prefixes.groupBy("place", "p1", "p2").agg(F.max("turns").alias("longest")).where(F.col("longest") > F.col("place"))
-    ends = prefixes.where(F.col("place") == F.col("turns"))
-    left = ends.join(longer, ["place", "p1", "p2"], "left_anti")
-    return left.groupBy("place", "p1", "p2").agg(F.min("conv").alias("conv"), F.max("turns").alias("turns")).select("conv", "turns")
+    # Equal conversations become one row before they meet the prefixes: a hot one is combined where it is.
+    ends = prefixes.where(F.col("place") == F.col("turns")).groupBy("place", "p1", "p2").agg(F.min("conv").alias("conv"), F.max("turns").alias("turns"))
+    return ends.join(longer, ["place", "p1", "p2"], "left_anti").select("conv", "turns")
 
 
 def rendered(role: Column, text: Column) -> Column:
