@@ -67,9 +67,12 @@ def dedup_lines(
         whole = rows.where("text is not null").groupBy(F.xxhash64("text").alias("__whole"), "id").agg(F.lit(1).alias("one")).groupBy("__whole").agg(F.sum("one").alias("__ids"))
         copies = cut(whole.where("__ids > 1").select("__whole", F.lit(True).alias("copied")))
         rows = rows.withColumn("__whole", F.xxhash64("text")).join(broadcast_if_small(copies, BROADCAST_ROWS), "__whole", "left")
+    # Lines travel split, in place of the text: each is then read once, however many there are.
+    rows = rows.withColumn("lines", lines_of("text")).drop("text", "site")
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]) & (rows["tag"] == gone["__tag"]), "left")
-    lines = lines_of("text")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    lines = F.col("lines")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     untouched = F.col("gone").isNull()
     lost = F.size("gone") == F.size(F.filter(lines, lambda line: F.trim(line) != ""))
     if spare_whole:
@@ -78,7 +81,7 @@ def dedup_lines(
         untouched = untouched | (F.col("copied").isNotNull() & lost)
     return joined.select(
         "kept.*",
-        F.when(untouched, F.col("text")).otherwise(left).alias("kept_text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(untouched, F.array_join(lines, "\n")).otherwise(left).alias("kept_text"),
+        F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(untouched, 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )

@@ -219,3 +219,12 @@ def test_digest_queries_match_brute_force(spark, sf_dir):
     own = [(d, n, r, sha(t)) for d, n, r, t in deduped(docs, 35)]
     assert by_text(map(tuple, queries.op4_substring_dedup(spark, sf_dir).collect())) == by_text(own)
     assert queries.op2_source_mixing(spark, sf_dir).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_very_many_lines(spark):
+    """A text of 30,000 lines of which most are boilerplate: time must not grow with lines times removed lines."""
+    lines = [f"line {i}" for i in range(30_000)]
+    rows = [(i, "\n".join(lines), f"s{i}") for i in range(8)] + [(9, "\n".join([*lines[:10], "own", "", *lines[10:]]), "s0")]
+    kept = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (kept[9].kept_text, kept[9].n_lines, kept[9].n_removed) == ("own\n", 30_002, 30_000)
+    assert (kept[3].kept_text, kept[3].n_removed) == ("", 30_000)
