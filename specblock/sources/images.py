@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -240,7 +241,7 @@ def _write_files(encoded: DataFrame, folder: str, ending: str) -> DataFrame:
             names, sizes = [], []
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = os.path.join(folder, f"{number}.{ending}")
-                part = f"{name}.{os.getpid()}.part"
+                part = f"{name}.{uuid.uuid4().hex}.part"
                 with open(part, "wb") as f:
                     f.write(content)
                 os.replace(part, name)
