@@ -276,6 +276,34 @@ def test_near_duplicates(bucket_rows, spark):
     assert simhash.near_duplicates(table.where("false")).count() == 0
 
 
+def test_simhash_query_is_that_of_brute_force(spark, sf_dir):
+    docs = sorted((r.doc_id, slow_fingerprint(r.text, 3)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    group = {d: d for d, _ in docs}
+    for i, (d, x) in enumerate(docs):
+        for e, y in docs[:i]:
+            if (x ^ y).bit_count() <= 3 and group[d] != group[e]:
+                low, high = sorted((group[d], group[e]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    rows = queries.op6_simhash_near_dedup(spark, sf_dir).collect()
+    assert sorted(map(tuple, rows)) == [(d, format(x, "016x"), group[d]) for d, x in docs]
+
+
+def test_pipeline_stages_of_odd_tables(spark, sf_dir):
+    """Empty tables, repeated rows, nulls and columns that documents does not have."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    null = spark.createDataFrame([(None, "the same words as ever in a text of some length", None, None, None)], docs.schema)
+    odd = docs.union(docs.limit(5)).union(null).withColumn("fp", F.lit(1)).withColumn("lines", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.where("false"), sf_dir).count() == 0, name
+        kept = stage(spark, odd, sf_dir)
+        assert kept.columns == corpus_pipeline.COLUMNS and kept.count() <= odd.count(), name
+    assert corpus_pipeline.mix_sources(spark, odd.where("false"), sf_dir).count() == 0
+    rows = corpus_pipeline.mix_sources(spark, odd, sf_dir).collect()
+    assert rows and all(0 < r.taken <= 2 * r.size for r in rows)
+    once = corpus_pipeline.drop_near_duplicates(spark, odd, sf_dir).collect()
+    assert len({r.doc_id for r in once}) == len(once)
+
+
 def test_neighbours_find_what_brute_force_finds(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
