@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specblock.llm import simhash
+from specblock.llm.common import shuffle_partitions
 from specblock.llm.word_arrays import WordHasher, mixed
 from specblock.operators.graph import connected_components
 from specblock.session import cut
@@ -52,6 +53,9 @@ DRAWS = 2
 #: Texts handled at once, and the members of a bucket whose pairs are all looked at.
 TEXTS = 256
 FEW = 64
+#: Nodes of a bucket that go to a block together, and their shingles; columns of a block that are counted at once.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 18
+COLUMNS = 1 << 13
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,7 +168,7 @@ def leaders_of(similarity: float):
     group meet the same few again, not new ones in each table.
     """
 
-    def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarray]:
+    def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], radius: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         several = np.append(True, group[1:] != group[:-1])
         several = ~(several & np.append(several[1:], True))
         group, node, columns = group[several], node[several], [c[several] for c in columns]
@@ -186,51 +190,148 @@ def leaders_of(similarity: float):
     return find
 
 
-def apart_in(similarity: float):
-    """For simhash.radius_links: all candidates of a bucket between nodes of different groups, told by the last lane."""
+def _elsewhere(table: np.ndarray, differing: np.ndarray, masks: simhash.Masks) -> np.ndarray:
+    """Which pairs, given by their table and differing bits, share a table before it that covers them for certain."""
+    out = np.zeros(len(table), bool)
+    close = np.bitwise_count(differing) <= masks.radius
+    for own in np.unique(table[close]).tolist():
+        at = np.flatnonzero(close & (table == own))
+        for mask in masks.children((own - 1) // masks.per)[: (own - 1) % masks.per]:
+            out[at] |= differing[at] & np.uint64(mask) == 0
+    return out
 
-    def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _blocks(node: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, node) that bring the pairs (i, j) of one bucket together; a block is named by its nodes."""
+    rows = np.unique(np.concatenate((i, j)))
+    rows = rows[np.argsort(node[rows])]
+    chunk = np.zeros(len(node), np.int64)
+    chunk[rows] = np.maximum(np.arange(len(rows)) // BLOCK_TEXTS, (np.cumsum(sizes[rows]) - 1) // BLOCK_SHINGLES)
+    chunk[rows] = np.unique(chunk[rows], return_inverse=True)[1]
+    low, high = np.minimum(chunk[i], chunk[j]), np.maximum(chunk[i], chunk[j])
+    both = low * (int(high.max()) + 1) + high
+    members = np.unique(np.concatenate((np.stack((both, i), axis=1), np.stack((both, j), axis=1))), axis=0)
+    return _named(members[:, 0], node[members[:, 1]])
+
+
+def _named(block: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, node) with blocks, which are sorted, named by a hash of their nodes."""
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    names = np.add.reduceat(mixed(node.view(np.uint64) + np.uint64(1)), starts).view(np.int64)
+    return np.repeat(names, np.diff(np.append(starts, len(block)))), node
+
+
+def apart_in(similarity: float, masks: simhash.Masks):
+    """For simhash.radius_links: (block, node) of all candidates of a bucket between nodes of different groups, told by the last lane."""
+
+    def find(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], radius: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label, sizes, lanes = columns[-1], columns[-2], [c.view(np.uint64) for c in columns[:-2]]
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         ends = np.append(starts[1:], len(group))
         mixed_up = (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)) & (ends - starts > 1)
         found = []
-        few = mixed_up & (ends - starts <= FEW)
-        # Few members: all pairs, by how far apart they stand.
+
+        def fitting(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = _fits(i, j, lanes, sizes, similarity)
+            i, j = i[ok], j[ok]
+            new = ~_elsewhere(table[i], lanes[0][i] ^ lanes[0][j], masks)
+            return i[new], j[new]
+
+        few = mixed_up & (ends - starts <= FEW) & (np.add.reduceat(sizes, starts) <= BLOCK_SHINGLES)
+        # Few members: all pairs, by how far apart they stand; they make one block.
         left = np.zeros(len(group), np.int64)
         for start, end in zip(starts[few], ends[few], strict=True):
             left[start:end] = np.arange(end - start, 0, -1)
-        at, step = np.flatnonzero(left > 1), 1
+        at, step, rows = np.flatnonzero(left > 1), 1, []
         while len(at):
             near = at[label[at] != label[at + step]]
-            near = near[_fits(near, near + step, lanes, sizes, similarity)]
-            found.append((near, near + step))
+            rows += fitting(near, near + step)
             step += 1
             at = at[left[at] > step]
+        if rows and len(rows := np.unique(np.concatenate(rows))):
+            found.append(_named(group[rows], node[rows]))
         # Many: those outside the largest group against all.
         for start, end in zip(starts[mixed_up & ~few], ends[mixed_up & ~few], strict=True):
             labels, back, n = np.unique(label[start:end], return_inverse=True, return_counts=True)
             members = np.arange(start, end)
+            pairs = []
             for i in members[back != n.argmax()]:
                 j = members[label[start:end] != label[i]]
-                j = j[_fits(np.full(len(j), i), j, lanes, sizes, similarity)]
-                found.append((np.full(len(j), i), j))
+                i, j = fitting(np.full(len(j), i), j)
+                pairs.append((i - start, j - start))
+            i, j = map(np.concatenate, zip(*pairs, strict=True))
+            if len(i):
+                found.append(_blocks(node[start:end], sizes[start:end], i, j))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return _ordered(node, *map(np.concatenate, zip(*found, strict=True)))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     return find
 
 
+def block_links(texts: list[str | None], node: np.ndarray, label: np.ndarray, hasher: WordHasher, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest of the links between nodes of different labels in one block of texts."""
+    m = len(texts)
+    parts = [distinct(*shingles(texts[k : k + TEXTS], hasher, shingle)) for k in range(0, m, TEXTS)]
+    row = np.concatenate([r + k * TEXTS for k, (r, _) in enumerate(parts)])
+    gram = np.concatenate([g for _, g in parts])
+    n = np.bincount(row, minlength=m).astype(np.float64)
+    by = np.argsort(gram, kind="stable")
+    row, gram = row[by], gram[by]
+    # Only shingles of several texts count, a slab of them at a time.
+    again = gram[1:] == gram[:-1]
+    shared = np.append(again, False) | np.append(False, again)
+    row, gram = row[shared], gram[shared]
+    column = np.cumsum(np.append(True, gram[1:] != gram[:-1])[: len(gram)]) - 1
+    both = np.zeros((m, m))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        slab = np.zeros((m, int(column[hi - 1]) - first + 1), np.float32)
+        slab[row[lo:hi], column[lo:hi] - first] = 1
+        both += slab @ slab.T
+    i, j = np.nonzero(np.triu(both / (n[:, None] + n[None] - both) >= similarity, 1) & (label[:, None] != label[None]))
+    return simhash.forest(node[i], node[j]) if len(i) else (node[:0], node[:0])
+
+
+def _verified_blocks(blocks: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) within blocks (block, node) of nodes (node, txt, label): their components are those of all similar pairs."""
+    needed = nodes.select("node", "txt", "label").join(blocks.select("node").distinct(), "node")
+    held = cut(texts.join(needed, "txt").dropDuplicates(["node"]).select("node", "label", "text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, waiting = WordHasher(), None
+        for batch in batches:
+            now = pa.table([*batch.columns], ["block", "node", "label", "text"])
+            waiting = now if waiting is None else pa.concat_tables([waiting, now])
+            block = waiting.column(0).to_numpy()
+            edges = np.flatnonzero(block[1:] != block[:-1]) + 1
+            yield from linked(waiting, np.append(0, edges), hasher)
+            waiting = waiting.slice(edges[-1]) if len(edges) else waiting
+        if waiting is not None and waiting.num_rows:
+            yield from linked(waiting, np.array([0, waiting.num_rows]), hasher)
+
+    def linked(rows: pa.Table, edges: np.ndarray, hasher: WordHasher) -> Iterator[pa.RecordBatch]:
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            node, label = (rows.column(k).slice(start, end - start).to_numpy() for k in (1, 2))
+            a, b = block_links(rows.column(3).slice(start, end - start).to_pylist(), node, label, hasher, shingle, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    met = blocks.join(held, "node").select("block", "node", "label", "text")
+    placed = met.repartition(shuffle_partitions(met), "block").sortWithinPartitions("block")
+    return cut(placed.mapInArrow(work, "a long, b long"))
+
+
 def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) between nodes (node, txt, n, LANES): verified links whose components are those of all candidates."""
     first = cut(simhash.radius_links(nodes.select("node", *LANES, "n"), RADIUS, PARTS, find=leaders_of(similarity)).distinct())
     found = _verified(first, nodes, texts, shingle, similarity)
     group = connected_components(found)
-    placed = nodes.select("node", *LANES, "n").join(group, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    second = simhash.radius_links(placed.select("node", *LANES, "n", "label"), RADIUS, PARTS, find=apart_in(similarity))
-    second = cut(second.distinct().join(first, ["a", "b"], "left_anti"))
-    return found.union(_verified(second, nodes, texts, shingle, similarity))
+    placed = nodes.select("node", "txt", *LANES, "n").join(group, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    find = apart_in(similarity, simhash.Masks(RADIUS, PARTS))
+    blocks = simhash.radius_links(placed.select("node", *LANES, "n", "label"), RADIUS, PARTS, find=find)
+    blocks = cut(blocks.select(F.col("a").alias("block"), F.col("b").alias("node")).distinct())
+    return found.union(_verified_blocks(blocks, placed, texts, shingle, similarity))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

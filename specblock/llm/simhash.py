@@ -132,7 +132,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[parent[other]]
 
 
-def bucket_links(group: np.ndarray, node: np.ndarray, lanes: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(group: np.ndarray, node: np.ndarray, lanes: list[np.ndarray], radius: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A star forest of the links between nodes within equal values of group, which is sorted."""
     size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
     left = np.repeat(size, size) - (np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size))
@@ -191,7 +191,7 @@ def _stream_links(keys: DataFrame, radius: int, bucket_rows: int | None, find: C
                 yield batch_of(*(p[:done][on] for p in (table, node, parts[3])), [p[:done][on] for p in parts[4:]])
             group = np.repeat(np.arange(len(sizes)), sizes)[~on]
             if len(group) > 1:
-                a, b = find(group, node[:done][~on], [p[:done][~on] for p in parts[3:]], radius)
+                a, b = find(group, node[:done][~on], [p[:done][~on] for p in parts[3:]], radius, table[:done][~on])
                 if len(a):
                     yield batch_of(np.full(len(a), -1), a, b, [np.zeros(len(a), np.int64)] * (len(lanes) - 1))
 
@@ -249,7 +249,7 @@ def radius_links(fps: DataFrame, radius: int, parts: int = 1, bucket_rows: int =
 
     fps holds distinct nodes (node long) with their fingerprints (fp and
     further lanes).  Another find than bucket_links tells what else to take of
-    the nodes of a bucket: it gets their bucket, node and lanes.
+    the nodes of a bucket: it gets their bucket, node, lanes and table.
     """
     lanes = [c for c in fps.columns if c != "node"]
     masks = Masks(radius, parts)
