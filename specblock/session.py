@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_afresh(df: DataFrame) -> DataFrame:
+    """cut() for loops: what comes back forgets the estimated size too.
+
+    A checkpoint keeps the estimate of its plan, and a join's is the product of
+    its sides'.  Over rounds of joins the number of digits grows by a constant
+    factor, until planning takes longer than the work.
+    """
+    spark, done = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+
+
 def _on_its_store(spark: SparkSession, path: str):
     """A path and its file system, as Hadoop sees them."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ import pytest
 
 from specblock.operators.apps import band_masks, near_hash_pairs
 from specblock.operators.graph import connected_components
+from specblock.session import cut_afresh
 
 
 def brute(edges):
@@ -38,6 +39,23 @@ def test_components(kind, spark):
     assert found == brute([e for e in edges if None not in e])
 
 
+def test_estimates_do_not_grow_with_rounds(spark):
+    """Estimated sizes multiply at joins; carried over rounds, their digits would outgrow the work."""
+    edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
+    for _ in range(4):
+        edges = edges.join(edges.withColumnRenamed("b", "c"), "a").select("a", "b")
+    found = connected_components(edges)
+    assert found.where("component = 0").count() == 401
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 200
+
+
+def test_cut_afresh_keeps_rows(spark):
+    df = spark.createDataFrame([(1, "a", [1.5, None]), (None, None, None)], "k long, s string, v array<double>")
+    again = cut_afresh(df.join(df.select("k"), "k", "left"))
+    assert again.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+
+
 @pytest.mark.parametrize("distance", [0, 1, 5, 15])
 def test_near_pairs(distance, spark):
     rng = random.Random(distance)
