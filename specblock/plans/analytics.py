@@ -203,13 +203,19 @@ hashes AS (SELECT image_id, sum(CASE WHEN dc > m THEN (1::UBIGINT << (63 - slot)
 
 
 def with_copies(f: Frames) -> Frames:
-    """Images, brighter copies (id + 1000) and strongly sharpened ones (id + 2000): duplicates to find."""
+    """Images, brighter copies (id + 1000) and strongly sharpened ones (id + 2000): duplicates to find.
+
+    Over 1,000 images would meet their copies' ids there; these move by as many
+    whole thousands as keep every id apart (the SQL twin fails on such tables).
+    """
+    step = 1000 * (1 + (f.images.agg(F.max("image_id")).first()[0] or 0) // 1000)
+
     def moved(g: Frames, by: int) -> Frames:
         number = F.col("image_id") + by
         path = F.concat(F.lit("image-"), number.cast("string"))
         return Frames(g.images.withColumns({"image_id": number, "path": path}), g.blocks.withColumn("image_id", number))
 
-    parts = [f, moved(pointwise.adjust_brightness(f, 20.0), 1000), moved(pointwise.sharpen(f, 3.0), 2000)]
+    parts = [f, moved(pointwise.adjust_brightness(f, 20.0), step), moved(pointwise.sharpen(f, 3.0), 2 * step)]
     union = lambda get: get(parts[0]).unionByName(get(parts[1])).unionByName(get(parts[2]))
     return Frames(union(lambda p: p.images), union(lambda p: p.blocks))
 
