@@ -17,9 +17,12 @@ COMB_LEAST = 64
 
 
 def band_masks(distance: int, bits: int = 64) -> list[int]:
-    """distance + 1 disjoint bands of bits: two hashes that near agree in one of them."""
-    edges = [bits * i // (distance + 1) for i in range(distance + 2)]
-    return [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    """distance + 1 disjoint bands of bits: two hashes that near agree in one of them.
+
+    A band takes every (distance + 1)-th bit: neighbouring samples of an image
+    are alike, or the very same block, and tell least when they stand together.
+    """
+    return [sum(1 << p for p in range(i, bits, distance + 1)) for i in range(distance + 1)]
 
 
 def near_hash_pairs(hashes: DataFrame, distance: int) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from specblock.operators.apps import band_masks
 from specblock.plans import analytics, corpora, registry
 from tests.oracle import connect, rows_of, sql_rows
 
@@ -39,3 +40,17 @@ def test_groups_of_many_images(spark, many):
     columns, rows = rows_of(registry.QUERIES["duplicate_groups_g5"](spark, many))
     assert rows == sql_rows(connect(many), twin("duplicate_groups_g5"), columns)
     assert sum(len(r[columns.index("paths")].split(",")) for r in rows) == 3 * IMAGES
+
+
+def test_duplicates_among_many_images(spark, many):
+    columns, rows = rows_of(registry.QUERIES["find_duplicates_g5"](spark, many))
+    assert rows == sql_rows(connect(many), twin("find_duplicates_g5"), columns)
+    assert len(rows) == 3 * IMAGES
+
+
+def test_bands_hold_different_blocks():
+    """A block of a 5 x 5 image is sampled up to four times: samples of one block in one band would not tell images apart."""
+    at = [int(i * 4 / 7) for i in range(8)]
+    for mask in band_masks(5):
+        blocks = [(at[slot // 8], at[slot % 8]) for slot in range(64) if mask >> (63 - slot) & 1]
+        assert len(set(blocks)) == len(blocks) >= 10
